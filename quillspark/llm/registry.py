@@ -1,9 +1,11 @@
 """Queries of the training-data operators and the SQL that checks them."""
 
 from quillspark.llm.quality import op8_quality_rules
+from quillspark.llm.simhash import op10_simhash
 
 QUERIES = {
     "op8_quality_rules": op8_quality_rules,
+    "op10_simhash": op10_simhash,
 }
 
 #: SQL where SQL can express the operator; the rest is tested against brute force in tests/llm.
