@@ -2,8 +2,10 @@
 
 from quillspark.llm.quality import op8_quality_rules
 from quillspark.llm.simhash import op10_simhash
+from quillspark.llm.suffix import op1_suffix_array
 
 QUERIES = {
+    "op1_suffix_array": op1_suffix_array,
     "op8_quality_rules": op8_quality_rules,
     "op10_simhash": op10_simhash,
 }
