@@ -35,13 +35,22 @@ from quillspark.runtime import stash
 LENGTH, END = 4096, 1
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks and words a task remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: White space to str.split() that is none to the tokenizer, and a letter whose lower case depends on its place.
 _ODD = regex.compile("[\x1c-\x1fΣ]")
 
 
+def _split(chunk: str) -> list[str] | tuple[str, ...]:
+    """A chunk's words; letters alone, or letters and one mark, need no pattern."""
+    if chunk.isalpha():
+        return (chunk,)
+    if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
+        return chunk[:-1], chunk[-1]
+    return _PIECES.findall(chunk)
+
+
 class WordTokenizer:
     """Ids of whole texts as little-endian bytes, by a public tokenizer that drops white space.
 
@@ -66,9 +75,9 @@ class WordTokenizer:
             self.chunks.clear()
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        new = {c for chunks in texts for c in chunks if c not in self.chunks}
-        split = {c: _PIECES.findall(c) for c in new}
-        fresh = list({w for pieces in split.values() for w in pieces if w not in self.words})
+        new = set().union(*texts).difference(self.chunks.keys())
+        split = {c: _split(c) for c in new}
+        fresh = list(set().union(*split.values()).difference(self.words.keys()))
         for at in range(0, len(fresh), 512):
             part = fresh[at : at + 512]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
@@ -78,8 +87,8 @@ class WordTokenizer:
                 self.words.update({w: ids[a:b].tobytes() for w, a, b in zip(part, starts, ends.tolist())})
             else:
                 self.words.update({w: self._whole(w) for w in part})
-        for chunk, pieces in split.items():
-            self.chunks[chunk] = b"".join([self.words[w] for w in pieces])
+        known = self.words.__getitem__
+        self.chunks.update({chunk: b"".join(map(known, pieces)) for chunk, pieces in split.items()})
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
