@@ -1,5 +1,6 @@
 """Queries of the training-data operators and the SQL that checks them."""
 
+from quillspark.llm.bpe import op9_byte_bpe
 from quillspark.llm.packing import op2_best_fit_packing
 from quillspark.llm.quality import op8_quality_rules
 from quillspark.llm.secrets import op6_secret_scans
@@ -7,6 +8,7 @@ from quillspark.llm.simhash import op10_simhash
 from quillspark.llm.suffix import op1_suffix_array
 
 QUERIES = {
+    "op9_byte_bpe": op9_byte_bpe,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op6_secret_scans": op6_secret_scans,
     "op1_suffix_array": op1_suffix_array,
