@@ -27,6 +27,8 @@ from quillspark.llm.common import blocks, documents
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Words and chunks a task remembers before it starts anew.
 REMEMBERED = 600_000
+#: New words replayed together: few enough for the index to stay in a CPU's cache.
+AT_ONCE = 1000
 
 
 class MergeReplay:
@@ -36,19 +38,17 @@ class MergeReplay:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.single = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[int, int] = {}
-
-    def _rank(self, a: int, b: int) -> int:
-        """Rank of the token that the pair merges to, or -1."""
-        key = a << 32 | b
-        found = self.pairs.get(key)
-        if found is None:
-            found = self.pairs[key] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
-        return found
+        # Rank of the token that a pair merges to, for every pair that merges to one.
+        self.pairs = {
+            ranks[token[:k]] << 32 | ranks[token[k:]]: rank
+            for token, rank in ranks.items()
+            for k in range(1, len(token))
+            if token[:k] in ranks and token[k:] in ranks
+        }
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word; words that are tokens themselves need no merge."""
-        ranks, rank = self.ranks, self._rank
+        ranks, rank = self.ranks, self.pairs.get
         out: list[list[int]] = [[ranks[w]] if w in ranks else [] for w in words]
         # All other words end to end; -1 before and after each keeps merges inside.
         symbols: list[int] = [-1]
@@ -61,10 +61,13 @@ class MergeReplay:
         nxt = list(range(1, len(symbols) + 1))
         prv = list(range(-1, len(symbols) - 1))
         index: dict[int, list[int]] = {}
-        for at in range(len(symbols) - 1):
-            a, b = symbols[at], symbols[at + 1]
-            if a >= 0 and b >= 0 and (r := rank(a, b)) >= 0:
-                index.setdefault(r, []).append(at)
+        # A pair with -1 or -2 in it is in no table, so the ends of words need no test.
+        for at, (a, b) in enumerate(zip(symbols, symbols[1:])):
+            if (r := rank(a << 32 | b)) is not None:
+                if r in index:
+                    index[r].append(at)
+                else:
+                    index[r] = [at]
         queue = list(index)
         heapify(queue)
         gone = -2
@@ -75,28 +78,22 @@ class MergeReplay:
                 continue
             places.sort()
             for k, at in enumerate(places):
-                a = symbols[at]
-                if a < 0:
-                    continue
                 right = nxt[at]
-                b = symbols[right]
-                if b < 0 or rank(a, b) != r:
+                if rank(symbols[at] << 32 | symbols[right]) != r:
                     continue
                 after, before = nxt[right], prv[at]
                 symbols[at], symbols[right] = r, gone
                 nxt[at] = after
                 prv[after] = at
                 lower = False
-                x = symbols[before]
-                if x >= 0 and (n := rank(x, r)) >= 0:
+                if (n := rank(symbols[before] << 32 | r)) is not None:
                     if n in index:
                         index[n].append(before)
                     else:
                         index[n] = [before]
                         heappush(queue, n)
                     lower = n < r
-                x = symbols[after]
-                if x >= 0 and (n := rank(r, x)) >= 0:
+                if (n := rank(r << 32 | symbols[after])) is not None:
                     if n in index:
                         index[n].append(at)
                     else:
@@ -127,19 +124,29 @@ class Encoder:
         self.spaced: dict[str, bytes | None] = {}
 
     def _learn_words(self, words: set[str]) -> None:
-        fresh = list(words.difference(self.words.keys()))
-        for word, ids in zip(fresh, self.replay.encode([w.encode() for w in fresh])):
-            self.words[word] = b"".join([b" %d" % i for i in ids])
+        fresh = list(words.difference(self.words))
+        for at in range(0, len(fresh), AT_ONCE):
+            part = fresh[at : at + AT_ONCE]
+            for word, ids in zip(part, self.replay.encode([w.encode() for w in part])):
+                self.words[word] = b"".join([b" %d" % i for i in ids])
+
+    def _spaced_words(self, chunk: str) -> list[str] | None:
+        """Words of a chunk behind a space; letters, or letters and one mark, need no pattern."""
+        if chunk.isalpha():
+            return [" " + chunk]
+        if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
+            return [" " + chunk[:-1], chunk[-1]]
+        return None if self.edge(chunk) else self.find(" " + chunk)
 
     def _learn(self, texts: list[list[str]]) -> None:
         for known in (self.words, self.first, self.spaced):
             if len(known) > REMEMBERED:
                 known.clear()
-        heads = {chunks[0] for chunks in texts}.difference(self.first.keys())
-        tails = set().union(*(chunks[1:] for chunks in texts)).difference(self.spaced.keys())
+        heads = {chunks[0] for chunks in texts}.difference(self.first)
+        tails = set().union(*(chunks[1:] for chunks in texts)).difference(self.spaced)
         # Between single spaces a chunk splits alike wherever it stands, unless white space is at its edge.
         split = {(c, False): None if self.edge(c) else self.find(c) for c in heads}
-        split.update({(c, True): None if self.edge(c) else self.find(" " + c) for c in tails})
+        split.update({(c, True): self._spaced_words(c) for c in tails})
         self._learn_words(set().union(*(x for x in split.values() if x)))
         known = self.words.__getitem__
         for (chunk, spaced), words in split.items():

@@ -75,9 +75,9 @@ class WordTokenizer:
             self.chunks.clear()
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        new = set().union(*texts).difference(self.chunks.keys())
+        new = set().union(*texts).difference(self.chunks)
         split = {c: _split(c) for c in new}
-        fresh = list(set().union(*split.values()).difference(self.words.keys()))
+        fresh = list(set().union(*split.values()).difference(self.words))
         for at in range(0, len(fresh), 512):
             part = fresh[at : at + 512]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
