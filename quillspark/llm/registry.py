@@ -3,6 +3,7 @@
 from quillspark.llm.bpe import op9_byte_bpe
 from quillspark.llm.chat import ORACLE_SQL as CHAT_SQL
 from quillspark.llm.chat import op5_chat_formatting
+from quillspark.llm.embedding import op4_embedding_dedup
 from quillspark.llm.langid import op3_language_id
 from quillspark.llm.packing import op2_best_fit_packing
 from quillspark.llm.quality import op8_quality_rules
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_suffix_array": op1_suffix_array,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_language_id": op3_language_id,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_secret_scans": op6_secret_scans,
     "op7_warc": op7_warc,
