@@ -1,5 +1,6 @@
 """Queries of the training-data operators and the SQL that checks them."""
 
+import corpus_pipeline
 from quillspark.llm.bpe import op9_byte_bpe
 from quillspark.llm.chat import ORACLE_SQL as CHAT_SQL
 from quillspark.llm.chat import op5_chat_formatting
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash": op10_simhash,
+    "pipeline": corpus_pipeline.run,
 }
 
 #: SQL where SQL can express the operator; the rest is tested against brute force in tests/llm.
