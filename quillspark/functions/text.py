@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The stopwords of keyword search. Those with an apostrophe never match a token.
@@ -71,12 +71,11 @@ def excerpt(text: str | Column, length: int = 250) -> Column:
     return F.when(F.char_length(text) > length, F.concat(F.substring(text, 1, length), F.lit("..."))).otherwise(text)
 
 
-def invert(x: str | Column) -> Column:
-    """Word to positions, the form in which abstracts arrive; the inverse of ``reconstruct``."""
-    words = F.split(col(x), " ")
-    pairs = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    keys = F.array_distinct(words)
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.transform(F.filter(pairs, lambda p: p["w"] == k), lambda p: p["i"])))
+def inverted(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, inverted``: word to positions, the form in which abstracts arrive; undone by ``reconstruct``."""
+    words = docs.select(key, F.posexplode(F.split(text, " ")).alias("place", "word"))
+    places = words.groupBy(key, "word").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    return places.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("inverted"))
 
 
 def reconstruct(index: str | Column) -> Column:
@@ -85,9 +84,11 @@ def reconstruct(index: str | Column) -> Column:
     entries = F.map_entries(col(index))
     pairs = F.flatten(F.transform(entries, lambda e, k: F.transform(F.coalesce(e["value"], F.array()), lambda p: F.struct(p.cast("int").alias("p"), k.alias("k"), e["key"].alias("w")))))
     pairs = F.array_sort(F.filter(pairs, lambda x: x["p"] >= 0))
-    last = F.element_at(pairs, -1)["p"]
-    # The highest k of a place comes last in the sorted order, and map_from_entries needs one entry a place.
-    winners = F.filter(pairs, lambda x, i: (i == F.size(pairs) - 1) | (F.get(pairs, i + 1)["p"] != x["p"]))
-    by_place = F.map_from_entries(F.transform(winners, lambda x: F.struct(x["p"], x["w"])))
-    text = F.array_join(F.transform(F.sequence(F.lit(0), last), lambda i: F.coalesce(F.element_at(by_place, i), F.lit(""))), " ")
-    return F.when(F.size(pairs) > 0, none_if_empty(strip(text)))
+    # The highest k of a place comes last in the sorted order. Arrays are shifted and zipped, as a
+    # lambda that mentions a whole array would build it anew for every element.
+    following = F.slice(pairs, F.lit(2), F.greatest(F.size(pairs), F.lit(1)))
+    winners = F.filter(F.zip_with(pairs, following, lambda x, y: F.when(y.isNull() | (y["p"] != x["p"]), x)), lambda x: x.isNotNull())
+    before = F.concat(F.array(F.lit(0)), F.transform(winners, lambda x: x["p"]))
+    # As many spaces before a word as places since the word before it; the surplus last one is null.
+    parts = F.zip_with(winners, before, lambda x, place: F.concat(F.repeat(F.lit(" "), x["p"] - place), x["w"]))
+    return none_if_empty(strip(F.array_join(parts, "")))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.pvalues import t_p_value, z_p_value
 
+#: Added to means of rounded values, so that decimal halves do not fall with the last bit of a sum.
+HALF = 1e-9
 METRICS = ("p_at_5", "p_at_10", "recall_at_10", "mrr", "ndcg_at_5", "ndcg_at_10")
 
 
@@ -67,7 +69,7 @@ def per_query(results: DataFrame, queries: DataFrame, qrels: DataFrame, threshol
 
 def summarize(metrics: DataFrame, *by: str) -> DataFrame:
     """Means of the rounded per-query metrics, by system and whatever else is named."""
-    return metrics.groupBy("system", *by).agg(F.count("*").alias("n_queries"), *(F.round(F.avg(m), 4).alias(m) for m in METRICS))
+    return metrics.groupBy("system", *by).agg(F.count("*").alias("n_queries"), *(F.round(F.avg(m) + HALF, 4).alias(m) for m in METRICS))
 
 
 def long_form(metrics: DataFrame) -> DataFrame:
@@ -146,4 +148,4 @@ def diversity(results: DataFrame, entities: DataFrame, queries: DataFrame, top_k
 
 
 def diversity_means(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("system", "kind").agg(F.round(F.avg("n_unique"), 2).alias("n_unique"), F.round(F.avg("entropy"), 4).alias("entropy"), F.round(F.avg("simpson"), 4).alias("simpson"))
+    return rows.groupBy("system", "kind").agg(F.round(F.avg("n_unique") + HALF, 2).alias("n_unique"), F.round(F.avg("entropy") + HALF, 4).alias("entropy"), F.round(F.avg("simpson") + HALF, 4).alias("simpson"))

@@ -134,7 +134,8 @@ def rerank(candidates: DataFrame, entities: DataFrame | None, settings: DataFram
     graph = sum((F.lit(weights[k]) * F.col(f"o_{k}") for k in KINDS), F.lit(0.0))
     rows = rows.withColumn("graph_score", F.round(graph, 6)).crossJoin(settings)  # settings: a parameter list
     mixed = F.col("alpha") * F.col("semantic_score") + (1 - F.col("alpha")) * F.col("graph_score")
-    rows = rows.withColumn("hybrid_score", F.round(mixed if entities is not None else F.col("semantic_score"), 6))
+    # The addend keeps decimal halves from falling either way with the last bit of the sum.
+    rows = rows.withColumn("hybrid_score", F.round(mixed + 1e-10 if entities is not None else F.col("semantic_score"), 6))
     by = Window.partitionBy("setting", "query_id").orderBy(F.desc("hybrid_score"), "paper_id")
     rows = rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= max(top_k, 0))
     return rows.withColumns({"rank_change": F.col("semantic_rank") - F.col("rank"), "score": F.col("hybrid_score"), "fallback_used": F.lit(entities is None)})
