@@ -26,16 +26,20 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False
         return spark.createDataFrame([], fields)
     if strict:
         return spark.read.schema(fields).option("mode", "FAILFAST").json(path)
+    parsed = _lines(spark, path, fields)
+    return parsed.where(F.col(f"x.{CORRUPT}").isNull()).select("x.*").drop(CORRUPT)
+
+
+def _lines(spark: SparkSession, path: str, fields: T.StructType) -> DataFrame:
+    """Parsed lines as struct ``x``; a malformed one has its text in the corrupt-record field."""
     with_corrupt = T.StructType([*fields.fields, T.StructField(CORRUPT, T.StringType())])
-    rows = spark.read.schema(with_corrupt).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("x"))
 
 
 def corrupt_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The lines that ``read_jsonl`` skips, for a log."""
-    fields = T.StructType([*_parsed(schema).fields, T.StructField(CORRUPT, T.StringType())])
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    return lines.select(F.from_json("value", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})[CORRUPT].alias("line")).where("line is not null")
+    return _lines(spark, path, _parsed(schema)).select(F.col(f"x.{CORRUPT}").alias("line")).where("line is not null")
 
 
 def count_records(spark: SparkSession, path: str) -> int:
