@@ -14,6 +14,10 @@ PACKAGE_DIR = os.path.dirname(os.path.abspath(__file__))
 REPO_DIR = os.path.dirname(PACKAGE_DIR)
 
 
+#: Paths of the tables written so far, for those who remove them in the end.
+MADE: list[str] = []
+
+
 class Stash(NamedTuple):
     """A table written to the shared folder: its DataFrame and its path."""
 
@@ -70,6 +74,7 @@ def stash(df: DataFrame, name: str) -> Stash:
     survives the loss of executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    MADE.append(path)
     return Stash(df.sparkSession.read.schema(df.schema).parquet(path), path)
 
 
