@@ -43,3 +43,13 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+
+
+def retext(batch: pa.RecordBatch, texts: list[str | None], drop: tuple[str, ...] = ()) -> pa.RecordBatch:
+    """``batch`` without ``drop`` and with new texts; ``n_chars`` follows where a text changed."""
+    old = batch.column("text").to_pylist()
+    batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, batch.column("text").type))
+    if (at := batch.schema.get_field_index("n_chars")) >= 0:
+        sizes = [n if a == b else len(b) for a, b, n in zip(old, texts, batch.column(at).to_pylist())]
+        batch = batch.set_column(at, "n_chars", pa.array(sizes, pa.int64()).cast(batch.schema.field(at).type))
+    return batch.select([c for c in batch.schema.names if c not in drop])

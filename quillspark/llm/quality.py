@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import blocks, documents
+from quillspark.llm.common import blocks, documents, retext
 from quillspark.runtime import stash
 
 MIN_WORDS = 10
@@ -160,14 +160,9 @@ def keep_good(docs: DataFrame, limit: int = LINE_LIMIT, share: float = LINE_SHAR
     rows = stash(docs.withColumn(rid, F.monotonically_increasing_id()), "quality-rows").df
     scanned = scan(rows, rid)
     verdict = judge(scanned, stash(frequent_lines(scanned, limit, share), "quality-lines").df, min_kept).where("kept")
-    verdict = stash(verdict.select(F.col("rid").alias(rid), "gone"), "quality-verdict").df
-    kept = rows.join(verdict.select(rid), rid, "left_semi")
-    cut = verdict.where("gone is not null").join(rows.select(rid, "text"), rid).select(F.col(rid).alias("rid"), "gone", "text")
-    cut = cut.mapInArrow(_strip, "rid long, text string").select(F.col("rid").alias(rid), F.col("text").alias("_text_"), F.lit(True).alias("_cut_"))
-    kept = kept.join(cut, rid, "left").withColumn("text", F.when(F.col("_cut_"), F.col("_text_")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("_cut_"), F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
-    return kept.select(*docs.columns)
+    verdict = stash(verdict.select(F.col("rid").alias(rid), F.col("gone").alias("_gone_")), "quality-verdict").df
+    # The texts move once: the join keeps the good rows and brings each its boilerplate lines.
+    return rows.join(verdict.hint("merge"), rid).select(*docs.columns, "_gone_", rid).mapInArrow(_strip, docs.schema)
 
 
 def without_lines(text: str | None, gone: set[int]) -> str | None:
@@ -179,9 +174,8 @@ def without_lines(text: str | None, gone: set[int]) -> str | None:
 
 def _strip(batches):
     for batch in blocks(batches):
-        pairs = zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist())
-        texts = pa.array([without_lines(t, set(g or ())) for t, g in pairs], pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column("rid"), texts], ["rid", "text"])
+        pairs = zip(batch.column("text").to_pylist(), batch.column("_gone_").to_pylist())
+        yield retext(batch, [without_lines(t, set(g or ())) for t, g in pairs], ("_gone_", "_row_number_"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm.common import blocks, documents
+from quillspark.llm.common import blocks, documents, retext
 
 
 class Rule(NamedTuple):
@@ -372,14 +372,7 @@ def masked(text: str | None, rules: tuple[Rule, ...] = RULES) -> str | None:
 
 def _mask_rows(batches):
     for batch in blocks(batches):
-        texts = pa.array([masked(x) for x in batch.column("text").to_pylist()], pa.string())
-        at = batch.schema.get_field_index("text")
-        batch = batch.set_column(at, "text", texts)
-        if (at := batch.schema.get_field_index("n_chars")) >= 0:
-            kind = batch.schema.field(at).type
-            sizes = [n if t is None else len(t) for t, n in zip(texts.to_pylist(), batch.column(at).to_pylist())]
-            batch = batch.set_column(at, "n_chars", pa.array(sizes, pa.int64()).cast(kind))
-        yield batch
+        yield retext(batch, [masked(x) for x in batch.column("text").to_pylist()])
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:

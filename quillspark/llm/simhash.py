@@ -342,4 +342,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = near_duplicates(rows, STAGE_WORDS, STAGE_PARTS, STAGE_BITS, rid=rid)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("first")
     stay = stash(found.groupBy("component").agg(first).select(F.col("first.rid").alias(rid)), "simhash-stay").df
-    return rows.join(stay, rid, "left_semi").select(*docs.columns)
+    return rows.join(stay.hint("merge"), rid, "left_semi").select(*docs.columns)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import blocks, documents, words
+from quillspark.llm.common import blocks, documents, retext, words
 from quillspark.runtime import stash
 
 #: Least words of a passage, words of a gram, grams a minimiser stands for.
@@ -318,9 +318,12 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 def _cut(batches):
     for batch in blocks(batches):
-        rows = zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())
-        texts = pa.array([cut_words(t, [(s["start"], s["stop"]) for s in spans]) for t, spans in rows], pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column("rid"), texts], ["rid", "text"])
+        texts = []
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans_").to_pylist()):
+            texts.append(cut_words(text, [(s["start"], s["stop"]) for s in spans]) if spans else text)
+        gone = [not words(t) and bool(s) for t, s in zip(texts, batch.column("_spans_").to_pylist())]
+        out = retext(batch, texts, ("_spans_", "_row_number_"))
+        yield out.filter(pa.array([not x for x in gone])) if any(gone) else out
 
 
 def keep_originals(docs: DataFrame) -> DataFrame:
@@ -333,11 +336,5 @@ def keep_originals(docs: DataFrame) -> DataFrame:
     rows = stash(docs.withColumn(rid, F.monotonically_increasing_id()), "suffix-rows").df
     repeats = merged(repeated_passages(rows, rid).where("later"), "rid")
     spans = repeats.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).withColumnRenamed("rid", rid)
-    spans = stash(spans, "suffix-spans").df
-    cut = spans.join(rows.select(rid, "text"), rid).select(F.col(rid).alias("rid"), "spans", "text")
-    cut = cut.mapInArrow(_cut, "rid long, text string").select(F.col("rid").alias(rid), F.col("text").alias("_text_"), F.lit(True).alias("_cut_"))
-    out = rows.join(cut, rid, "left").where(F.col("_cut_").isNull() | F.col("_text_").rlike(r"[^\x20\x09-\x0D]"))
-    out = out.withColumn("text", F.when(F.col("_cut_"), F.col("_text_")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cut_"), F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+    spans = stash(spans.withColumnRenamed("spans", "_spans_"), "suffix-spans").df
+    return rows.join(spans.hint("merge"), rid, "left").select(*docs.columns, "_spans_", rid).mapInArrow(_cut, docs.schema)
