@@ -78,17 +78,20 @@ def inverted(docs: DataFrame, key: str, text: str) -> DataFrame:
     return places.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("inverted"))
 
 
+def let(x: Column, body) -> Column:
+    """``body`` of the value of ``x``, which is computed once however often ``body`` mentions it."""
+    return F.get(F.transform(F.array(x), body), 0)
+
+
 def reconstruct(index: str | Column) -> Column:
     """Text of an inverted index. Gaps leave empty words, of words that share a place the last entry
     wins, negative places are ignored, an empty result is null."""
     entries = F.map_entries(col(index))
     pairs = F.flatten(F.transform(entries, lambda e, k: F.transform(F.coalesce(e["value"], F.array()), lambda p: F.struct(p.cast("int").alias("p"), k.alias("k"), e["key"].alias("w")))))
-    pairs = F.array_sort(F.filter(pairs, lambda x: x["p"] >= 0))
-    # The highest k of a place comes last in the sorted order. Arrays are shifted and zipped, as a
-    # lambda that mentions a whole array would build it anew for every element.
-    following = F.slice(pairs, F.lit(2), F.greatest(F.size(pairs), F.lit(1)))
-    winners = F.filter(F.zip_with(pairs, following, lambda x, y: F.when(y.isNull() | (y["p"] != x["p"]), x)), lambda x: x.isNotNull())
-    before = F.concat(F.array(F.lit(0)), F.transform(winners, lambda x: x["p"]))
-    # As many spaces before a word as places since the word before it; the surplus last one is null.
-    parts = F.zip_with(winners, before, lambda x, place: F.concat(F.repeat(F.lit(" "), x["p"] - place), x["w"]))
-    return none_if_empty(strip(F.array_join(parts, "")))
+    pairs = F.sort_array(F.filter(pairs, lambda x: x["p"] >= 0))
+    # The highest k of a place comes last in the sorted order.
+    winners = let(pairs, lambda v: F.filter(v, lambda x, i: F.coalesce(F.get(v, i + 1)["p"] != x["p"], F.lit(True))))
+    # As many spaces before a word as places since the word before it.
+    gap = lambda v, x, i: x["p"] - F.when(i > 0, F.get(v, i - 1)["p"]).otherwise(0)
+    parts = let(winners, lambda v: F.transform(v, lambda x, i: F.concat(F.repeat(F.lit(" "), gap(v, x, i)), x["w"])))
+    return let(strip(F.array_join(parts, "")), none_if_empty)

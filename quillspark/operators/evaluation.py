@@ -93,7 +93,7 @@ def t_test(diffs: DataFrame) -> DataFrame:
     still = F.abs("mean") < 1e-12
     t = F.when(F.col("n") < 2, 0.0).when(flat & still, 0.0).when(flat, F.signum("mean") * float("inf")).otherwise(F.col("mean") / (F.col("sd") / F.sqrt("n")))
     out = rows.withColumn("t", t).withColumn("cohens_d", F.when(flat | (F.col("n") < 2), 0.0).otherwise(F.col("mean") / F.col("sd")))
-    return out.select("pair", "metric", "n", F.round("mean", 6).alias("mean_diff"), F.round("sd", 6).alias("std_diff"), F.round("t", 4).alias("t_stat"), F.round("cohens_d", 4).alias("cohens_d"), "t")
+    return out.select("pair", "metric", "n", F.round(F.col("mean") + HALF, 6).alias("mean_diff"), F.round("sd", 6).alias("std_diff"), F.round("t", 4).alias("t_stat"), F.round("cohens_d", 4).alias("cohens_d"), "t")
 
 
 def with_t_p_value(tests: DataFrame) -> DataFrame:

@@ -102,7 +102,7 @@ def _diffs(spark, sf):
 
 
 @query("paired_ttest", f"""WITH {_DIFFS}, s AS (SELECT pair, metric, count(*) AS n, avg(diff) AS mean, coalesce(stddev_samp(diff), 0) AS sd FROM diffs GROUP BY 1, 2)
-SELECT pair, metric, n, round(mean, 6) AS mean_diff, round(sd, 6) AS std_diff,
+SELECT pair, metric, n, round(mean + 1e-9, 6) AS mean_diff, round(sd, 6) AS std_diff,
 CASE WHEN sd < 1e-12 AND abs(mean) < 1e-12 THEN 0 WHEN sd < 1e-12 THEN sign(mean) * 'inf'::DOUBLE ELSE round(mean / (sd / sqrt(n)), 4) END AS t_stat, CASE WHEN sd < 1e-12 THEN 0 ELSE round(mean / sd, 4) END AS cohens_d FROM s""")
 def paired_ttest(spark, sf):
     return E.t_test(_diffs(spark, sf)).drop("t")
