@@ -11,9 +11,12 @@ row, then place) is the original and the others are repeats.
 Plan: pass one hashes the grams at minimisers and counts them (aggregation with map-side
 combination); grams seen twice set bits in a filter of fixed size, the only thing broadcast. Pass
 two sends the surviving suffixes with the words around them, at most 92 of 4 bytes, to tasks by
-gram, in sorted order. A task holds one gram's suffixes while they are at most ``run_limit``;
-beyond that the rows go on as windows that are counted by an aggregation, exactly and without
-gathering a group. False hits of the filter only cost rows. Texts are never shuffled.
+gram, in sorted order. The counts of pass one also tell which grams have more than ``run_limit``
+suffixes; these set bits in a second filter of the same size, and their 50-word windows are
+counted by an aggregation with map-side combination instead, exactly and without gathering a
+group, so no task gets more than ``run_limit`` suffixes of a gram. Equal windows have the same
+minimiser and so go the same way. False hits of the filters only cost rows. Texts are never
+shuffled.
 """
 
 from __future__ import annotations
@@ -32,10 +35,10 @@ from quillspark.runtime import stash
 #: Least words of a passage, words of a gram, grams a minimiser stands for.
 PASSAGE, GRAM = 50, 8
 SPAN = PASSAGE - GRAM + 1
-#: Bits of the filter of repeated grams: 8 MB, whatever the input.
+#: Bits of the filters of repeated and of hot grams: 8 MB each, whatever the input.
 FILTER_BITS = 26
-#: Suffixes of one gram that a task holds in memory.
-RUN_LIMIT = 65_536
+#: Most suffixes of one gram that are sorted and compared in one task.
+RUN_LIMIT = 4096
 
 _M = np.uint64(0x9FB21C651E98DF25)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -82,23 +85,27 @@ def _count_grams(batches):
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
 
-def _repeated(grams: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """Bitmap of the grams seen twice or more; of fixed size, built by aggregation."""
-    seen = grams.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+def _bitmap(counts: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """Bitmap of the grams ``h``; of fixed size, built by aggregation."""
     slot = F.col("h").bitwiseAND((1 << bits) - 1)
     one = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    cells = seen.select(F.shiftright(slot, 6).cast("int").alias("cell"), one.alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits"))
+    cells = counts.select(F.shiftright(slot, 6).cast("int").alias("cell"), one.alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits"))
     out = np.zeros(1 << (bits - 6), np.int64)
     got = cells.toArrow()
     out[got.column("cell").to_numpy()] = got.column("bits").to_numpy()
     return out.view(np.uint8)
 
 
-def _suffixes(bitmap, bits: int):
-    mask = np.uint64((1 << bits) - 1)
+def _has(bitmap: np.ndarray, grams: np.ndarray, bits: int) -> np.ndarray:
+    slot = grams & np.uint64((1 << bits) - 1)
+    return (bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _suffixes(repeated, hot, bits: int):
+    """Suffixes of repeated grams with the words around them, without those of hot grams."""
 
     def run(batches):
-        seen = np.frombuffer(bitmap.value, np.uint8)
+        seen = np.frombuffer(repeated.value, np.uint8) & ~np.frombuffer(hot.value, np.uint8)
         for batch in blocks(batches):
             rid, doc = batch.column("rid"), batch.column("doc_id")
             rows, h, place, low, high, left, right = [], [], [], [], [], [], []
@@ -108,8 +115,7 @@ def _suffixes(bitmap, bits: int):
                 at, first, last = minimisers(grams)
                 if not len(at):
                     continue
-                slot = grams[at] & mask
-                keep = (seen[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                keep = _has(seen, grams[at], bits)
                 at, first, last = at[keep], first[keep], last[keep]
                 short = (hashes >> np.uint64(32)).astype("<u4")
                 rows += [i] * len(at)
@@ -131,6 +137,38 @@ def _suffixes(bitmap, bits: int):
     return run
 
 
+def _hot_windows(hot, bits: int):
+    """Every 50-word window whose minimiser is a hot gram: its row, place and hash."""
+
+    def run(batches):
+        seen = np.frombuffer(hot.value, np.uint8)
+        for batch in blocks(batches):
+            rows, start, window = [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                hashes = word_hashes(text)
+                grams = gram_hashes(hashes)
+                at, first, last = minimisers(grams)
+                keep = _has(seen, grams[at], bits)
+                if not keep.any():
+                    continue
+                inside = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[keep].tolist(), last[keep].tolist())])
+                inside.sort()
+                rows.append(np.full(len(inside), i))
+                start.append(inside)
+                window.append(gram_hashes(hashes, PASSAGE)[inside].view(np.int64))
+            if not rows:
+                continue
+            rows, start, window = map(np.concatenate, (rows, start, window))
+            for a in range(0, len(rows), 65_536):
+                take = pa.array(rows[a : a + 65_536])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("rid").take(take), batch.column("doc_id").take(take), pa.array(start[a : a + 65_536]), pa.array(window[a : a + 65_536])],
+                    ["rid", "doc_id", "start", "window"],
+                )
+
+    return run
+
+
 def _matrix(cells: list[bytes], width: int) -> np.ndarray:
     """One row of ``width`` word hashes for each cell, zero beyond its end."""
     out = np.zeros((len(cells), width), np.uint64)
@@ -193,8 +231,8 @@ def _matches(h, rid, doc, doc_null, place, low, high, left, right):
     row, first = row[at], first[at]
     null = lambda x, m: pa.array(x, pa.int64(), mask=m.astype(bool))
     return pa.RecordBatch.from_arrays(
-        [pa.array(rid[row]), null(doc[row], doc_null[row]), pa.array(start[at]), pa.array(stop), pa.array(rid[first]), null(doc[first], doc_null[first]), pa.array(later[at]), pa.nulls(len(at), pa.int64())],
-        [*MATCH, "window"],
+        [pa.array(rid[row]), null(doc[row], doc_null[row]), pa.array(start[at]), pa.array(stop), pa.array(rid[first]), null(doc[first], doc_null[first]), pa.array(later[at])],
+        MATCH,
     )
 
 
@@ -204,53 +242,26 @@ def _numbers(batch):
     return [get("h"), get("rid"), doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_null().to_numpy(zero_copy_only=False), get("place"), get("low"), get("high")]
 
 
-def _compare(limit: int):
-    def as_windows(batch):
-        """Every window of a run that is too long for one task, to be counted elsewhere."""
-        h, rid, doc, doc_null, place, low, high = _numbers(batch)
-        for extension, has, key in window_keys(h.view(np.uint64), low, high, batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-            n = len(has)
-            nulls = pa.nulls(n, pa.int64())
-            start = place[has] - extension
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rid[has]), pa.array(doc[has], pa.int64(), mask=doc_null[has]), pa.array(start), pa.array(start + PASSAGE), nulls, nulls, pa.nulls(n, pa.bool_()), pa.array(key.view(np.int64))],
-                [*MATCH, "window"],
-            )
+def _compare(batches):
+    """Matches of the suffixes, sorted by gram; holds a batch and the last gram's suffixes before it."""
 
     def finish(pieces):
         whole = pa.Table.from_batches(pieces).combine_chunks().to_batches()[0]
         found = _matches(*_numbers(whole), whole.column("left").to_pylist(), whole.column("right").to_pylist())
         return [found] if found is not None else []
 
-    def run(batches):
-        held: list = []  # batches whose last run may go on
-        rows, over = 0, None  # over: the gram whose run is passed on as windows
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            h = batch.column("h").to_numpy()
-            if over is not None:
-                end = int(np.argmax(h != over)) if h[-1] != over else batch.num_rows
-                if end:
-                    yield from as_windows(batch.slice(0, end))
-                if end == batch.num_rows:
-                    continue
-                batch, h, over = batch.slice(end), h[end:], None
-            last = int(np.flatnonzero(h != h[-1])[-1]) + 1 if h[0] != h[-1] else 0
-            if last or (held and held[-1].column("h")[-1].as_py() != h[0]):
-                done = [*held, batch.slice(0, last)] if last else held
-                yield from finish(done)
-                held, rows = [], 0
-            held.append(batch.slice(last))
-            rows += batch.num_rows - last
-            if rows > limit:
-                for piece in held:
-                    yield from as_windows(piece)
-                held, rows, over = [], 0, h[-1]
-        if held:
-            yield from finish(held)
-
-    return run
+    held: list = []  # batches whose last gram may go on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h = batch.column("h").to_numpy()
+        last = int(np.flatnonzero(h != h[-1])[-1]) + 1 if h[0] != h[-1] else 0
+        if last or (held and held[-1].column("h")[-1].as_py() != h[0]):
+            yield from finish([*held, batch.slice(0, last)] if last else held)
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield from finish(held)
 
 
 def repeated_passages(docs: DataFrame, rid: str | None = None, run_limit: int = RUN_LIMIT, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -265,22 +276,24 @@ def repeated_passages(docs: DataFrame, rid: str | None = None, run_limit: int =
     """
     spark = docs.sparkSession
     numbered = docs.select(F.col(rid).alias("rid") if rid else F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    grams = docs.select("text").mapInArrow(_count_grams, "h long, n long")
-    bitmap = spark.sparkContext.broadcast(_repeated(grams, filter_bits).tobytes())
+    grams = docs.select("text").mapInArrow(_count_grams, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = stash(grams.where("n > 1"), "suffix-grams").df
+    too_many = _bitmap(counts.where(F.col("n") > run_limit), filter_bits)
+    repeated = spark.sparkContext.broadcast(_bitmap(counts, filter_bits).tobytes())
+    hot = spark.sparkContext.broadcast(too_many.tobytes())
     schema = "h long, rid long, doc_id long, place long, low int, high int, left binary, right binary"
-    suffixes = numbered.mapInArrow(_suffixes(bitmap, filter_bits), schema)
+    suffixes = numbered.mapInArrow(_suffixes(repeated, hot, filter_bits), schema)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     suffixes = suffixes.repartition(n, "h").sortWithinPartitions("h", "right")
-    out = "rid long, doc_id long, start long, stop long, first_rid long, first_doc_id long, later boolean, window long"
-    found = stash(suffixes.mapInArrow(_compare(run_limit), out), "suffix-matches").df
-    near = found.where("window is null").select(*MATCH)
-    far = found.where("window is not null").select("rid", "doc_id", "start", "stop", "window")
-    if far.isEmpty():
+    out = "rid long, doc_id long, start long, stop long, first_rid long, first_doc_id long, later boolean"
+    near = stash(suffixes.mapInArrow(_compare, out), "suffix-matches").df
+    if not too_many.any():
         return near
+    far = stash(numbered.mapInArrow(_hot_windows(hot, filter_bits), "rid long, doc_id long, start long, window long"), "suffix-windows").df
     who = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "rid", "start")
     heads = far.groupBy("window").agg(F.min(who).alias("head"), F.count("*").alias("n")).where("n > 1").select("window", "head")
     heads = stash(heads, "suffix-heads").df
-    far = far.join(heads, "window")
+    far = far.join(heads, "window").withColumn("stop", F.col("start") + PASSAGE)
     later = (F.col("rid") != F.col("head.rid")) | (F.col("start") != F.col("head.start"))
     return near.unionByName(far.select("rid", "doc_id", "start", "stop", F.col("head.rid").alias("first_rid"), F.col("head.doc_id").alias("first_doc_id"), later.alias("later")))
 
