@@ -38,7 +38,7 @@ SPAN = PASSAGE - GRAM + 1
 #: Bits of the filters of repeated and of hot grams: 8 MB each, whatever the input.
 FILTER_BITS = 26
 #: Most suffixes of one gram that are sorted and compared in one task.
-RUN_LIMIT = 4096
+RUN_LIMIT = 65_536
 
 _M = np.uint64(0x9FB21C651E98DF25)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
