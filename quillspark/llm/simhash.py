@@ -304,12 +304,13 @@ def near_links(prints: DataFrame, parts: int, most: int, keys: list, limit: int
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, parts: int = 1, most: int = 2, limit: int = BUCKET_LIMIT, rid: str | None = None) -> DataFrame:
-    """``(rid, doc_id, f0, ..., component)`` for every row of ``docs(doc_id, text)``.
+    """``(rid, doc_id, f0, ..., node, component)`` for every row of ``docs(doc_id, text)``.
 
     ``component`` is the smallest doc_id (over the component's rows with one) reachable by links of
     fingerprints at ``most`` differing bits. A null or empty text, or one of white space alone, has
     the fingerprint zero and links like any other. Repeated rows and copies share a fingerprint and
-    so a component. A row with a null doc_id takes part and keeps its component. Extra columns are
+    so a component. A row with a null doc_id takes part and keeps its component. ``node`` is the
+    component's own key: unlike the smallest doc_id it is never null nor shared by two components. Extra columns are
     ignored; an empty table gives an empty result.
     """
     names = [f"f{p}" for p in range(parts)]
@@ -323,8 +324,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, parts: int = 1, most: int =
     parts_of = connected_components(near_links(prints.select("id", *names), parts, most, keys, limit))
     joined = prints.join(parts_of.withColumnRenamed("node", "id"), "id")
     heads = joined.groupBy("component").agg(F.min("least").alias("head"))
-    heads = stash(joined.select("component", *names).join(heads, "component").select(*names, "head"), "simhash-heads").df
-    table = prints.select(*names, "least").join(heads, names, "left").select(*names, F.coalesce("head", "least").alias("component"))
+    heads = stash(joined.select("component", *names).join(heads, "component").select(*names, "head", F.col("component").alias("node")), "simhash-heads").df
+    table = prints.join(heads, names, "left")
+    table = table.select(*names, F.coalesce("node", "id").alias("node"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("head")).alias("component"))
     table = stash(table, "simhash-components").df
     return rows.join(table, names)
 
@@ -341,5 +343,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = stash(docs.withColumn(rid, F.monotonically_increasing_id()), "simhash-rows").df
     found = near_duplicates(rows, STAGE_WORDS, STAGE_PARTS, STAGE_BITS, rid=rid)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("first")
-    stay = stash(found.groupBy("component").agg(first).select(F.col("first.rid").alias(rid)), "simhash-stay").df
+    stay = stash(found.groupBy("node").agg(first).select(F.col("first.rid").alias(rid)), "simhash-stay").df
     return rows.join(stay.hint("merge"), rid, "left_semi").select(*docs.columns)

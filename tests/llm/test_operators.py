@@ -108,6 +108,14 @@ def test_keep_one(docs):
     assert kept.columns == docs.columns and "0" in ids and "1" not in ids and "2" not in ids and ids.count("9") == 1 and "3" in ids and "4" in ids
 
 
+def test_keep_one_null_and_repeated_ids(spark):
+    """Different texts whose doc_id is null or repeats stay; copies among them still go."""
+    texts = [prose(100) for _ in range(8)]
+    rows = [(None, t) for t in texts[:4]] + [(None, texts[0])] + [(7, t) for t in texts[4:]] + [(8, texts[4])]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in kept) == sorted(texts)
+
+
 def brute_passages(rows):
     seen = collections.defaultdict(list)
     for k, (doc, text) in enumerate(rows):
