@@ -28,15 +28,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import blocks, documents, lower_words
+from quillspark.llm.common import blocks, documents, shingle_hashes
+from quillspark.llm.jaccard import BUCKET_LIMIT as JACCARD_LIMIT
+from quillspark.llm.jaccard import near_groups, pick
 from quillspark.operators.components import connected_components
 from quillspark.runtime import stash
 
-SEED = 42
 #: Rows of one bucket that a task links in memory; larger buckets take the masked way.
 BUCKET_LIMIT = 65_536
 #: The pipeline stage: shingle words, 64-bit parts of a fingerprint, most differing bits, key samples.
@@ -45,21 +45,6 @@ STAGE_WORDS, STAGE_PARTS, STAGE_BITS, STAGE_KEYS = 5, 3, 37, 64
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_hashes(text: str | None, size: int) -> np.ndarray:
-    """XXH64 (seed 42) of each ``size``-word shingle, repeats included; empty for a text without words."""
-    tokens = lower_words(text)
-    if not tokens:
-        return np.empty(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    if len(tokens) <= size:
-        return np.array([digest(b" ".join(tokens), SEED)], np.uint64)
-    joined = b" ".join(tokens)
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    spans = zip(starts[: len(tokens) - size + 1].tolist(), ends[size - 1 :].tolist())
-    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(tokens) - size + 1)
-
-
 def _mixed(hashes: np.ndarray, part: int) -> np.ndarray:
     """Independent 64 bits for each further part of a fingerprint (splitmix64 finaliser)."""
     if part == 0:
@@ -336,12 +321,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each group the row with the smallest doc_id
-    (then the first such row) stays; rows without words are copies of each other. All columns stay."""
+def keep_one(docs: DataFrame, limit: int = JACCARD_LIMIT) -> DataFrame:
+    """The rows of ``docs`` without near duplicates (exact Jaccard similarity, see ``jaccard``): of each
+    group the row with the smallest doc_id (then the first such row) stays; rows without words are
+    copies of each other. All columns stay."""
     rid = "_row_number_"
-    rows = stash(docs.withColumn(rid, F.monotonically_increasing_id()), "simhash-rows").df
-    found = near_duplicates(rows, STAGE_WORDS, STAGE_PARTS, STAGE_BITS, rid=rid)
+    rows = stash(docs.withColumn(rid, F.monotonically_increasing_id()), "jaccard-docs").df
+    found = near_groups(rows.select(F.col(rid).alias("rid"), "doc_id", "text"), limit)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("first")
-    stay = stash(found.groupBy("node").agg(first).select(F.col("first.rid").alias(rid)), "simhash-stay").df
-    return rows.join(stay.hint("merge"), rid, "left_semi").select(*docs.columns)
+    stay = found.groupBy("node").agg(first).select(F.col("first.rid").alias("id"))
+    return pick(rows, rid, stay).select(*docs.columns)

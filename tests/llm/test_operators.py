@@ -116,6 +116,51 @@ def test_keep_one_null_and_repeated_ids(spark):
     assert sorted(r.text for r in kept) == sorted(texts)
 
 
+def brute_jaccard(texts):
+    """Component of every text by all pairs of five-word shingle sets at 0.8 or more."""
+    def shingles(text):
+        tokens = (text or "").lower().split()
+        return {tuple(tokens[i : i + 5]) for i in range(max(1, len(tokens) - 4))} if tokens else set()
+
+    sets, label = [shingles(t) for t in texts], list(range(len(texts)))
+    near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and 5 * len(a & b) >= 4 * len(a | b)]
+    for _ in texts:
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
+def edited(text, times, rng):
+    tokens = text.split()
+    for at in rng.sample(range(len(tokens)), times):
+        tokens[at] = rng.choice(VOCAB)
+    return " ".join(tokens)
+
+
+@pytest.mark.parametrize("limit", [65536, 2])
+def test_keep_one_is_exact(spark, limit):
+    """Chains of edits around the similarity of 0.8, in buckets far beyond the limit of 2."""
+    rng = random.Random(23)
+    bases = [" ".join(rng.choice(VOCAB) for _ in range(n)) for n in (9, 60, 150, 150, 400)]
+    texts = [edited(b, rng.randint(0, max(1, len(b.split()) // 18)), rng) for b in bases for _ in range(25)]
+    texts += [b + " " + edited(b, 3, rng)[: rng.randint(5, 300)] for b in bases for _ in range(5)] + [None, "", " \n"]
+    rng.shuffle(texts)
+    label = brute_jaccard(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert 10 < len(set(label)) < len(texts) - 10
+    assert sorted(r.doc_id for r in simhash.keep_one(df, limit=limit).collect()) == sorted(set(label))
+
+
+def test_keep_one_confirms_by_jaccard(spark):
+    """Texts between 0.6 and 0.8 are no copies, though their fingerprints are often within 37 bits."""
+    rng = random.Random(5)
+    bases = [" ".join(rng.choice(VOCAB) for _ in range(200)) for _ in range(20)]
+    texts = bases + [" ".join(b.split()[:k] + [rng.choice(VOCAB) for _ in range(200 - k)]) for b, k in zip(bases, range(155, 175))]
+    assert len(set(brute_jaccard(texts))) == 40
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.keep_one(df).count() == 40
+
+
 def brute_passages(rows):
     seen = collections.defaultdict(list)
     for k, (doc, text) in enumerate(rows):
