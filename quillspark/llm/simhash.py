@@ -5,8 +5,8 @@ bits, some start exists from which every chain of ``l`` consecutive segments dif
 ``l * d / m`` bits (Qin and Xiao, "Pigeonring", 2018). The index key takes the first two links of
 such a chain: with four segments and d = 2 the first segment is equal (budget 0) and the second
 differs in at most one bit (budget 1), so three of its four nibbles are equal. One key per start
-and left-out nibble gives 16 keys of 28 bits; the longer chains and then the whole distance are
-checked inside a bucket, without emitting its pairs.
+and left-out nibble gives 16 keys of 28 bits. Inside a bucket the whole distance is checked at
+once, without emitting its pairs: it implies the longer chains, so running them after it filters nothing.
 
 Fingerprints are made distinct first, so copies cost one row. A bucket's rows arrive sorted and
 are linked as a spanning forest: a leader takes all within reach, only pairs between leaders'
@@ -15,11 +15,8 @@ fingerprints equal but for two given bits differ in at most two, so each of the
 values is a clique whose members all link to its least one - an aggregation with map-side
 combination, linear in the group.
 
-For wide budgets (the pipeline stage: five-word shingles, 192 bits, similarity 0.8, d = 37) the
-first links of a chain allow errors in every segment, and no selective exact key exists. There
-the keys are seeded 16-bit samples of the fingerprint, 64 of them; each pair then runs through
-the ring's chains and the full check. A pair at the limit is found with a probability of over
-0.9, nearer ones almost surely.
+The pipeline's stage of this name links by exact Jaccard similarity instead (``jaccard``): at its
+budget no exact key of a fingerprint is selective, and a fingerprint only estimates the similarity.
 """
 
 from __future__ import annotations
@@ -39,8 +36,8 @@ from quillspark.runtime import stash
 
 #: Rows of one bucket that a task links in memory; larger buckets take the masked way.
 BUCKET_LIMIT = 65_536
-#: The pipeline stage: shingle words, 64-bit parts of a fingerprint, most differing bits, key samples.
-STAGE_WORDS, STAGE_PARTS, STAGE_BITS, STAGE_KEYS = 5, 3, 37, 64
+#: Most differing bits of a link.
+MOST = 2
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -104,34 +101,10 @@ def chain_keys(f: str) -> list:
     return [F.struct(F.lit(i).alias("which"), F.col(f).bitwiseAND(F.lit(_signed(mask))).alias("value")) for i, (_, mask) in enumerate(_nibble_masks())]
 
 
-def sample_keys(parts: int, keys: int = STAGE_KEYS, width: int = 16, seed: int = 7) -> list:
-    """``keys`` samples of ``width`` bits of a fingerprint of ``parts`` columns f0, f1, ..."""
-    rng = np.random.default_rng(seed)
-    out = []
-    for i in range(keys):
-        masks = [0] * parts
-        for bit in rng.choice(64 * parts, width, replace=False).tolist():
-            masks[bit // 64] |= 1 << (bit % 64)
-        out.append(F.struct(F.lit(i).alias("which"), F.xxhash64(*(F.col(f"f{p}").bitwiseAND(F.lit(_signed(m))) for p, m in enumerate(masks))).alias("value")))
-    return out
-
-
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def ring_holds(a: np.ndarray, b: np.ndarray, most: int, segment: int = 16) -> np.ndarray:
-    """Whether some start has all its chains within budget: the pigeonring condition, row by row."""
-    xor = np.ascontiguousarray(a ^ b)
-    d = np.bitwise_count(xor.view("<u2" if segment == 16 else np.uint8)).astype(np.int64).reshape(len(xor), -1)
-    m = d.shape[1]
-    ok = np.zeros(len(xor), bool)
-    for start in range(m):
-        chain = np.cumsum(np.roll(d, -start, axis=1), axis=1)
-        ok |= (chain * m <= most * np.arange(1, m + 1)).all(axis=1)
-    return ok
-
-
 def spanning_links(prints: np.ndarray, most: int, block: int = 512) -> list[tuple[int, int]]:
     """Links (row pairs within ``most`` bits) that join whatever all such links of the bucket join.
 
@@ -173,8 +146,7 @@ def spanning_links(prints: np.ndarray, most: int, block: int = 512) -> list[tupl
             i, j = np.nonzero((near <= most) & (left_of[:, None] != right_of[None, :]))
             if not len(i):
                 continue
-            keep = ring_holds(left[i], right[j], most)
-            for x, y in zip(i[keep].tolist(), j[keep].tolist()):
+            for x, y in zip(i.tolist(), j.tolist()):
                 a, b = find(int(left_of[x])), find(int(right_of[y]))
                 if a != b:
                     parent[max(a, b)] = min(a, b)
@@ -273,47 +245,38 @@ def _masked(ids_and_prints: DataFrame) -> DataFrame:
     return rows.join(least, ["which", "value"]).where("id > v").select(F.col("id").alias("u"), "v").distinct()
 
 
-def near_links(prints: DataFrame, parts: int, most: int, keys: list, limit: int = BUCKET_LIMIT) -> DataFrame:
-    """Links ``(u, v)`` between the rows of ``prints(id, f0, ...)``, distinct fingerprints."""
-    names = [f"f{p}" for p in range(parts)]
-    rows = prints.select("id", *names, F.explode(F.array(*keys)).alias("key")).select("key.which", "key.value", "id", *names)
+def near_links(prints: DataFrame, limit: int = BUCKET_LIMIT) -> DataFrame:
+    """Links ``(u, v)`` between the rows of ``prints(id, f0)``, distinct fingerprints, at ``MOST`` bits."""
+    rows = prints.select("id", "f0", F.explode(F.array(*chain_keys("f0"))).alias("key")).select("key.which", "key.value", "id", "f0")
     shuffled = rows.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "which", "value").sortWithinPartitions("which", "value")
-    found = stash(shuffled.mapInArrow(_link_buckets(parts, most, limit), "u long, v long"), "simhash-links").df
+    found = stash(shuffled.mapInArrow(_link_buckets(1, MOST, limit), "u long, v long"), "simhash-links").df
     links = found.where("v is not null")
     over = found.where("v is null").select(F.col("u").alias("id")).distinct()
     if over.isEmpty():
         return links
-    if parts == 1 and most <= 2:
-        return links.unionByName(_masked(prints.join(over, "id", "left_semi")))
-    return links.unionByName(near_links(prints.join(over, "id", "left_semi"), parts, most, sample_keys(parts, 2 * STAGE_KEYS, 28, 11), limit))
+    return links.unionByName(_masked(prints.join(over, "id", "left_semi")))
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, parts: int = 1, most: int = 2, limit: int = BUCKET_LIMIT, rid: str | None = None) -> DataFrame:
-    """``(rid, doc_id, f0, ..., node, component)`` for every row of ``docs(doc_id, text)``.
+def near_duplicates(docs: DataFrame, limit: int = BUCKET_LIMIT) -> DataFrame:
+    """``(rid, doc_id, f0, component)`` for every row of ``docs(doc_id, text)``.
 
     ``component`` is the smallest doc_id (over the component's rows with one) reachable by links of
-    fingerprints at ``most`` differing bits. A null or empty text, or one of white space alone, has
+    fingerprints at two differing bits. A null or empty text, or one of white space alone, has
     the fingerprint zero and links like any other. Repeated rows and copies share a fingerprint and
-    so a component. A row with a null doc_id takes part and keeps its component. ``node`` is the
-    component's own key: unlike the smallest doc_id it is never null nor shared by two components. Extra columns are
+    so a component. A row with a null doc_id takes part and keeps its component. Extra columns are
     ignored; an empty table gives an empty result.
     """
-    names = [f"f{p}" for p in range(parts)]
-    numbered = docs.select(F.col(rid).alias("rid") if rid else F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    schema = f"rid long, doc_id {dict(docs.dtypes)['doc_id']}, {', '.join(f'{x} long' for x in names)}"
-    rows = stash(numbered.mapInArrow(_fingerprints(words, parts), schema), "simhash").df
-    # A fingerprint of 64 bits names itself; a longer one is named by the least row that has it.
-    name = F.col("f0") if parts == 1 else F.min("rid")
-    prints = stash(rows.groupBy(*names).agg(F.min("doc_id").alias("least"), name.alias("id")), "simhash-distinct").df
-    keys = chain_keys("f0") if parts == 1 and most <= 2 else sample_keys(parts)
-    parts_of = connected_components(near_links(prints.select("id", *names), parts, most, keys, limit))
+    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    rows = stash(numbered.mapInArrow(_fingerprints(3, 1), f"rid long, doc_id {dict(docs.dtypes)['doc_id']}, f0 long"), "simhash").df
+    # A fingerprint names itself.
+    prints = stash(rows.groupBy("f0").agg(F.min("doc_id").alias("least"), F.col("f0").alias("id")), "simhash-distinct").df
+    parts_of = connected_components(near_links(prints.select("id", "f0"), limit))
     joined = prints.join(parts_of.withColumnRenamed("node", "id"), "id")
     heads = joined.groupBy("component").agg(F.min("least").alias("head"))
-    heads = stash(joined.select("component", *names).join(heads, "component").select(*names, "head", F.col("component").alias("node")), "simhash-heads").df
-    table = prints.join(heads, names, "left")
-    table = table.select(*names, F.coalesce("node", "id").alias("node"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("head")).alias("component"))
+    heads = stash(joined.select("component", "f0").join(heads, "component").select("f0", "head"), "simhash-heads").df
+    table = prints.select("f0", "least").join(heads, "f0", "left").select("f0", F.coalesce("head", "least").alias("component"))
     table = stash(table, "simhash-components").df
-    return rows.join(table, names)
+    return rows.join(table, "f0")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
