@@ -33,8 +33,8 @@ SIMILAR = 0.95
 #: Most coarse lists; sample rows a list; dimensions of a subspace; codewords of a subspace.
 MOST_LISTS, SAMPLE_A_LIST, SUBSPACE, CODEWORDS = 4096, 16, 8, 256
 #: Vectors of a block. Share of the exact bound on the plane's distance that a probe must keep:
-#: 1 finds every link; noise in many dimensions rarely moves a vector straight at a plane.
-BLOCK, MARGIN = 4096, 0.35
+#: at 1 every link is found, from both its ends; less loses links where vectors have few free dimensions.
+BLOCK, MARGIN = 4096, 1.0
 
 
 class Quantiser(NamedTuple):

@@ -270,6 +270,19 @@ def test_vectors(spark):
     assert embedding.near_vectors(df.where("false")).count() == 0
 
 
+def test_vectors_as_registered(spark):
+    """Recall 1 against brute force with the production settings, where 64 dimensions hold 5 free ones."""
+    rng = np.random.default_rng(9)
+    low = np.repeat(rng.normal(size=(150, 5)), 6, axis=0)
+    low = low / np.linalg.norm(low, axis=1, keepdims=True) + rng.normal(size=low.shape) * 0.13
+    x = low @ np.linalg.qr(rng.normal(size=(64, 5)))[0].T
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((unit @ unit.T) >= 0.95).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding.near_vectors(df).collect()}
+    assert want.sum() > 1000 and [got[i] for i in range(len(x))] == want.tolist()
+
+
 def test_warc(spark):
     page = "<p>" + "long " * 40
     rows = [(3, "u3", page), (1, "u1", page), (2, None, "short"), (4, "u4", "short"), (5, "u5", None), (1, "u1", page), (6, "a\nb", "é" * 60)]
