@@ -3,9 +3,9 @@
 Suffixes are kept only at minimisers: of every 43 consecutive 8-word grams the one with the least
 hash. A passage of 50 words holds 43 such grams, so two copies of it keep a suffix at the same
 place, whatever surrounds them. The suffixes that share their first eight words are brought
-together and sorted; for each left extension the neighbours in that order are compared over the
-words to the left and to the right, and matches of 50 words or more extend to the longest
-passage when their 50-word windows are merged. Of equal passages the first (smallest doc_id, then
+together; for each left extension the hashes of their whole 50-word windows are compared (the
+order of the suffixes is not used), and matches extend to the longest passage when their 50-word
+windows are merged. Of equal passages the first (smallest doc_id, then
 row, then place) is the original and the others are repeats.
 
 Plan: pass one hashes the grams at minimisers and counts them (aggregation with map-side
