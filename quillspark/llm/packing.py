@@ -3,9 +3,8 @@
 Texts become token ids, texts of over 4096 ids are cut into pieces of 4096, and the pieces are
 packed into as few sequences of 4096 as the plan finds. The plan works on counts by length alone,
 so its size is bounded by the sequence length (at most a few patterns a length), not by the
-corpus: singles, pair sums and triple sums of the lengths still available are indexed by value;
-from the longest piece down, each gap is looked up for a single, pair or triple that fills it
-exactly, and the combination is consumed as often as its scarcest length allows. What no exact
+corpus: from the longest piece down, the lengths still available are scanned for a single, pair or
+triple that fills each gap exactly (there is no index of sums; the last part is looked up), and the combination is consumed as often as its scarcest length allows. What no exact
 complement fits is packed best fit, again in whole counts.
 
 Plan: one Arrow pass writes a narrow row for each piece with its number among the pieces of its
