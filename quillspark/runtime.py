@@ -27,8 +27,8 @@ class Stash(NamedTuple):
 
 def ship(spark: SparkSession) -> None:
     """Make the package importable on executors, and bound Arrow batches by bytes as well as rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     if REPO_DIR in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
     sc = spark.sparkContext
