@@ -8,10 +8,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.runtime import stash
 
 SEED = 42
 #: Texts that go through one vectorised step together: a bound on bytes, not on rows.
 BLOCK_BYTES = 4 << 20
+#: Most bitmaps of row numbers that are broadcast: 64 MB.
+MOST_BITMAPS = 16_384
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +27,14 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(*(columns or ("doc_id", "text")))
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column of the table has it (Spark's names know no case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words(text: str | None) -> list[bytes]:
     r"""Words ``[^\x20\x09-\x0D]+`` as UTF-8; ``bytes.split`` splits at just these six bytes."""
     return text.encode().split() if text else []
@@ -47,6 +60,37 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(tokens) - size + 1)
 
 
+class Memo:
+    """Remembered results within ``most`` bytes (an estimate), in two generations.
+
+    When the young generation has half the bytes it becomes the old one, and the old one goes; what
+    is asked for again moves to the young one. All keys that ``missing`` has been asked for are in
+    ``young`` until the next ``turn``, once those it returned are added.
+    """
+
+    #: Bytes of an entry besides its key's and value's contents.
+    ENTRY = 150
+
+    def __init__(self, most: int):
+        self.most, self.bytes = most, 0
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def turn(self) -> None:
+        if 2 * self.bytes > self.most:
+            self.old, self.young, self.bytes = self.young, {}, 0
+
+    def missing(self, keys: set) -> set:
+        away = keys.difference(self.young)
+        back = away.intersection(self.old)
+        self.add({k: self.old[k] for k in back})
+        return away - back
+
+    def add(self, items: dict) -> None:
+        self.young.update(items)
+        self.bytes += sum(map(len, items)) + sum(len(x) for x in items.values() if x) + self.ENTRY * len(items)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` of each holds about ``most`` bytes, and one row at least."""
     for batch in batches:
@@ -70,3 +114,27 @@ def retext(batch: pa.RecordBatch, texts: list[str | None], drop: tuple[str, ...]
         sizes = [n if a == b else len(b) for a, b, n in zip(old, texts, batch.column(at).to_pylist())]
         batch = batch.set_column(at, "n_chars", pa.array(sizes, pa.int64()).cast(batch.schema.field(at).type))
     return batch.select([c for c in batch.schema.names if c not in drop])
+
+
+def _marked(rows: DataFrame, rid: str, ids: DataFrame, kept: bool) -> DataFrame:
+    bucket, held = unused(rows.columns, "bitmap_bucket"), unused(rows.columns, "bitmap")
+    maps = ids.groupBy(F.bitmap_bucket_number("id").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias(held))
+    maps = stash(maps, "bitmap").df
+    maps = F.broadcast(maps) if maps.count() <= MOST_BITMAPS else maps
+    bit = f"bitmap_bit_position({rid})"
+    found = F.expr(f"shiftright(cast(conv(hex(substring({held}, cast({bit} div 8 as int) + 1, 1)), 16, 10) as int), cast({bit} % 8 as int)) & 1 = 1")
+    same = F.bitmap_bucket_number(rid) == F.col(bucket)
+    if kept:
+        return rows.join(maps, same).where(found).select(*rows.columns)
+    return rows.join(maps, same, "left").where(~F.coalesce(found, F.lit(False))).select(*rows.columns)
+
+
+def pick(rows: DataFrame, rid: str, ids: DataFrame) -> DataFrame:
+    """The rows whose ``rid`` is among ``ids(id)``, by bitmaps of one bit a row. They are broadcast, so that
+    no text is shuffled, if they take ``MOST_BITMAPS`` of 4 KB at most; beyond that they are joined by bucket."""
+    return _marked(rows, rid, ids, True)
+
+
+def leave(rows: DataFrame, rid: str, ids: DataFrame) -> DataFrame:
+    """The rows that ``pick`` leaves out."""
+    return _marked(rows, rid, ids, False)
