@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import blocks, documents, shingle_hashes
+from quillspark.llm.common import blocks, documents, pick, shingle_hashes, unused
 from quillspark.llm.jaccard import BUCKET_LIMIT as JACCARD_LIMIT
-from quillspark.llm.jaccard import near_groups, pick
+from quillspark.llm.jaccard import near_groups
 from quillspark.operators.components import connected_components
 from quillspark.runtime import stash
 
@@ -288,7 +288,7 @@ def keep_one(docs: DataFrame, limit: int = JACCARD_LIMIT) -> DataFrame:
     """The rows of ``docs`` without near duplicates (exact Jaccard similarity, see ``jaccard``): of each
     group the row with the smallest doc_id (then the first such row) stays; rows without words are
     copies of each other. All columns stay."""
-    rid = "_row_number_"
+    rid = unused(docs.columns, "row_number")
     rows = stash(docs.withColumn(rid, F.monotonically_increasing_id()), "jaccard-docs").df
     found = near_groups(rows.select(F.col(rid).alias("rid"), "doc_id", "text"), limit)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("first")
