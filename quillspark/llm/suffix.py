@@ -2,11 +2,14 @@
 
 Suffixes are kept only at minimisers: of every 43 consecutive 8-word grams the one with the least
 hash. A passage of 50 words holds 43 such grams, so two copies of it keep a suffix at the same
-place, whatever surrounds them. The suffixes that share their first eight words are brought
-together; for each left extension the hashes of their whole 50-word windows are compared (the
-order of the suffixes is not used), and matches extend to the longest passage when their 50-word
-windows are merged. Of equal passages the first (smallest doc_id, then
-row, then place) is the original and the others are repeats.
+place, whatever surrounds them. The suffixes are sorted and each is compared with its neighbours:
+the common prefixes of neighbours tell, for any number of words, which runs of suffixes go on alike.
+The words to the left of each suffix are sorted and compared in the same way, nearest word first. A
+suffix stays only if the longest matches to both sides add up to 50 words; then, for each number of
+words to the left, suffixes in one run on the left and in one run on the right are copies of 50
+words, and these chain to the longest passage. Of equal passages the first (smallest doc_id, then
+row, then place) is the original and the others are repeats. Words are compared as 32 bits of
+their hash, the first eight of a suffix also by the gram's 64 bits.
 
 Plan: pass one hashes the grams at minimisers and counts them (aggregation with map-side
 combination); grams seen twice set bits in a filter of fixed size, the only thing broadcast. Pass
@@ -25,11 +28,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import blocks, documents, retext, words
+from quillspark.llm.common import blocks, documents, leave, pick, retext, unused, words
 from quillspark.runtime import stash
 
 #: Least words of a passage, words of a gram, grams a minimiser stands for.
@@ -169,46 +173,60 @@ def _hot_windows(hot, bits: int):
     return run
 
 
-def _matrix(cells: list[bytes], width: int) -> np.ndarray:
-    """One row of ``width`` word hashes for each cell, zero beyond its end."""
-    out = np.zeros((len(cells), width), np.uint64)
+def _matrix(cells: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """One row of ``width`` words for each cell, zero beyond its end, and how many it has."""
+    out = np.zeros((len(cells), width), np.uint32)
     lengths = np.fromiter(map(len, cells), np.int64, len(cells)) // 4
-    flat = np.frombuffer(b"".join(cells), "<u4").astype(np.uint64)
     row = np.repeat(np.arange(len(cells)), lengths)
-    column = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    out[row, column] = flat
-    return out
+    column = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out[row, column] = np.frombuffer(b"".join(cells), "<u4")
+    return out, lengths
 
 
-def _prefix_hashes(matrix: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(matrix), matrix.shape[1] + 1), np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(matrix.shape[1]):
-            out[:, j + 1] = _scramble(out[:, j] * _M + matrix[:, j] + np.uint64(1))
-    return out
+def neighbours(h: np.ndarray, cells: list[bytes], width: int) -> np.ndarray:
+    """Of sorted suffixes the words each has in common with the one before, -1 if the gram differs."""
+    matrix, lengths = _matrix(cells, width)
+    common = np.full(len(h), -1, np.int64)
+    for at in range(1, len(h), 65_536):
+        rows = slice(at, min(at + 65_536, len(h)))
+        before = slice(rows.start - 1, rows.stop - 1)
+        differ = np.concatenate([matrix[rows] != matrix[before], np.ones((rows.stop - rows.start, 1), bool)], axis=1)
+        found = np.minimum(differ.argmax(axis=1), np.minimum(lengths[rows], lengths[before]))
+        common[rows] = np.where(h[rows] == h[before], found, -1)
+    return common
 
 
-def window_keys(h: np.ndarray, low: np.ndarray, high: np.ndarray, left: list[bytes], right: list[bytes]):
-    """For each left extension the suffixes that have it and the hash of their 50 words."""
-    ahead = _prefix_hashes(_matrix(right, PASSAGE))
-    back = _prefix_hashes(_matrix(left, SPAN - 1))
-    for extension in range(SPAN):
-        has = np.flatnonzero((low <= extension) & (extension <= high))
-        if len(has):
-            with np.errstate(over="ignore"):
-                yield extension, has, _scramble(_scramble(h[has] + back[has, extension] * _M) + ahead[has, PASSAGE - extension] + np.uint64(extension))
+def longest(common: np.ndarray) -> np.ndarray:
+    """Words that each suffix has in common with one of its neighbours."""
+    return np.maximum(common, np.append(common[1:], -1))
 
 
 MATCH = ["rid", "doc_id", "start", "stop", "first_rid", "first_doc_id", "later"]
 
 
-def _matches(h, rid, doc, doc_null, place, low, high, left, right):
-    """Windows with an equal one elsewhere, merged while they follow each other with the same original."""
-    order = np.lexsort((place, rid, doc, doc_null))
-    h, rid, doc, doc_null, place, low, high = (x[order] for x in (h, rid, doc, doc_null, place, low, high))
-    left, right = [left[i] for i in order], [right[i] for i in order]
+def _matches(h, rid, doc, doc_null, place, low, high, left, right, within: bool):
+    """Copies of 50 words among suffixes sorted by (gram, words ahead), chained while they follow each
+    other with the same original."""
+    ahead = neighbours(h, right, PASSAGE)
+    able = np.flatnonzero(longest(ahead) + high >= PASSAGE)
+    if not len(able):
+        return None
+    behind_order = np.array(sorted(range(len(able)), key=lambda k: (h[able[k]], left[able[k]])), np.int64)
+    behind = neighbours(h[able[behind_order]], [left[k] for k in able[behind_order]], SPAN - 1)
+    reach = np.empty(len(able), np.int64)
+    reach[behind_order] = longest(behind)
+    right_reach, low, high = longest(ahead)[able], low[able], high[able]
+    by_document = np.lexsort((place[able], rid[able], doc[able], doc_null[able]))
     row, start, first = [], [], []
-    for extension, has, key in window_keys(h.view(np.uint64), low, high, left, right):
+    for extension in range(SPAN):
+        has = (low <= extension) & (extension <= high) & (reach >= extension) & (right_reach >= PASSAGE - extension)
+        has = by_document[has[by_document]]
+        if len(has) < 2:
+            continue
+        run_right = np.cumsum(ahead < PASSAGE - extension)[able]
+        run_left = np.empty(len(able), np.int64)
+        run_left[behind_order] = np.cumsum(behind < extension)
+        key = run_right[has] * (len(able) + 1) + run_left[has]
         by = np.argsort(key, kind="stable")
         same = key[by][1:] == key[by][:-1]
         if not same.any():
@@ -216,8 +234,13 @@ def _matches(h, rid, doc, doc_null, place, low, high, left, right):
         new = np.concatenate([[True], ~same])
         head = np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
         member = ~new | np.concatenate([same, [False]])
-        row.append(has[by[member]])
-        first.append(has[by[head[member]]])
+        if not within:
+            starts, rows = np.flatnonzero(new), rid[able[has[by]]]
+            member &= np.repeat(np.minimum.reduceat(rows, starts) < np.maximum.reduceat(rows, starts), np.diff([*starts, len(by)]))
+            if not member.any():
+                continue
+        row.append(able[has[by[member]]])
+        first.append(able[has[by[head[member]]]])
         start.append(place[row[-1]] - extension)
     if not row:
         return None
@@ -242,30 +265,33 @@ def _numbers(batch):
     return [get("h"), get("rid"), doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_null().to_numpy(zero_copy_only=False), get("place"), get("low"), get("high")]
 
 
-def _compare(batches):
+def _compare(within: bool):
     """Matches of the suffixes, sorted by gram; holds a batch and the last gram's suffixes before it."""
 
     def finish(pieces):
         whole = pa.Table.from_batches(pieces).combine_chunks().to_batches()[0]
-        found = _matches(*_numbers(whole), whole.column("left").to_pylist(), whole.column("right").to_pylist())
+        found = _matches(*_numbers(whole), whole.column("left").to_pylist(), whole.column("right").to_pylist(), within)
         return [found] if found is not None else []
 
-    held: list = []  # batches whose last gram may go on
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        h = batch.column("h").to_numpy()
-        last = int(np.flatnonzero(h != h[-1])[-1]) + 1 if h[0] != h[-1] else 0
-        if last or (held and held[-1].column("h")[-1].as_py() != h[0]):
-            yield from finish([*held, batch.slice(0, last)] if last else held)
-            held = []
-        held.append(batch.slice(last))
-    if held:
-        yield from finish(held)
+    def run(batches):
+        held: list = []  # batches whose last gram may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h = batch.column("h").to_numpy()
+            last = int(np.flatnonzero(h != h[-1])[-1]) + 1 if h[0] != h[-1] else 0
+            if last or (held and held[-1].column("h")[-1].as_py() != h[0]):
+                yield from finish([*held, batch.slice(0, last)] if last else held)
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from finish(held)
+
+    return run
 
 
-def repeated_passages(docs: DataFrame, rid: str | None = None, run_limit: int = RUN_LIMIT, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """Passages of ``docs(doc_id, text)`` that occur elsewhere, in another row or another place.
+def repeated_passages(docs: DataFrame, rid: str | None = None, run_limit: int = RUN_LIMIT, filter_bits: int = FILTER_BITS, within: bool = False) -> DataFrame:
+    """Passages of ``docs(doc_id, text)`` that occur in another row; ``within`` adds those that repeat in one row alone.
 
     Returns ``rid, doc_id, start, stop, first_rid, first_doc_id, later``: words ``start`` to
     ``stop`` (exclusive) of the row; ``later`` is false for the original and true for repeats, which
@@ -279,6 +305,8 @@ def repeated_passages(docs: DataFrame, rid: str | None = None, run_limit: int =
     grams = docs.select("text").mapInArrow(_count_grams, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     counts = stash(grams.where("n > 1"), "suffix-grams").df
     too_many = _bitmap(counts.where(F.col("n") > run_limit), filter_bits)
+    if rid is None and too_many.any():  # two scans need the same row numbers
+        numbered = stash(numbered, "suffix-numbered").df
     repeated = spark.sparkContext.broadcast(_bitmap(counts, filter_bits).tobytes())
     hot = spark.sparkContext.broadcast(too_many.tobytes())
     schema = "h long, rid long, doc_id long, place long, low int, high int, left binary, right binary"
@@ -286,12 +314,13 @@ def repeated_passages(docs: DataFrame, rid: str | None = None, run_limit: int =
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     suffixes = suffixes.repartition(n, "h").sortWithinPartitions("h", "right")
     out = "rid long, doc_id long, start long, stop long, first_rid long, first_doc_id long, later boolean"
-    near = stash(suffixes.mapInArrow(_compare, out), "suffix-matches").df
+    near = stash(suffixes.mapInArrow(_compare(within), out), "suffix-matches").df
     if not too_many.any():
         return near
     far = stash(numbered.mapInArrow(_hot_windows(hot, filter_bits), "rid long, doc_id long, start long, window long"), "suffix-windows").df
     who = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "rid", "start")
-    heads = far.groupBy("window").agg(F.min(who).alias("head"), F.count("*").alias("n")).where("n > 1").select("window", "head")
+    heads = far.groupBy("window").agg(F.min(who).alias("head"), F.count("*").alias("n"), F.min("rid").alias("low"), F.max("rid").alias("high"))
+    heads = heads.where("n > 1" if within else "low < high").select("window", "head")
     heads = stash(heads, "suffix-heads").df
     far = far.join(heads, "window").withColumn("stop", F.col("start") + PASSAGE)
     later = (F.col("rid") != F.col("head.rid")) | (F.col("start") != F.col("head.start"))
@@ -329,25 +358,28 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join(out).decode()
 
 
-def _cut(batches):
-    for batch in blocks(batches):
-        texts = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans_").to_pylist()):
-            texts.append(cut_words(text, [(s["start"], s["stop"]) for s in spans]) if spans else text)
-        gone = [not words(t) and bool(s) for t, s in zip(texts, batch.column("_spans_").to_pylist())]
-        out = retext(batch, texts, ("_spans_", "_row_number_"))
-        yield out.filter(pa.array([not x for x in gone])) if any(gone) else out
+def _cut(spans: str):
+    def run(batches):
+        for batch in blocks(batches):
+            pairs = list(zip(batch.column("text").to_pylist(), batch.column(spans).to_pylist()))
+            texts = [cut_words(text, [(s["start"], s["stop"]) for s in found]) if found else text for text, found in pairs]
+            gone = pa.array([not words(t) for t in texts], pa.bool_())
+            yield retext(batch, texts, (spans,)).filter(pc.invert(gone))
+
+    return run
 
 
 def keep_originals(docs: DataFrame) -> DataFrame:
     """``docs`` with every repeat of a passage cut out of its text; the originals stay.
 
     ``n_chars`` is set anew where a text changes. A row whose text has no word left goes; rows
-    without words from the start stay. All columns stay.
+    without words from the start stay. All columns stay, whatever their names. Only the texts that
+    hold a repeat are shuffled; the others are told apart by a bitmap of one bit a row.
     """
-    rid = "_row_number_"
+    rid, cuts = unused(docs.columns, "row_number"), unused(docs.columns, "cut_spans")
     rows = stash(docs.withColumn(rid, F.monotonically_increasing_id()), "suffix-rows").df
     repeats = merged(repeated_passages(rows, rid).where("later"), "rid")
-    spans = repeats.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).withColumnRenamed("rid", rid)
-    spans = stash(spans.withColumnRenamed("spans", "_spans_"), "suffix-spans").df
-    return rows.join(spans.hint("merge"), rid, "left").select(*docs.columns, "_spans_", rid).mapInArrow(_cut, docs.schema)
+    spans = stash(repeats.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias(cuts)).withColumnRenamed("rid", rid), "suffix-spans").df
+    ids = spans.select(F.col(rid).alias("id"))
+    touched = stash(pick(rows, rid, ids).join(spans, rid).select(*docs.columns, cuts), "suffix-touched").df
+    return leave(rows, rid, ids).select(*docs.columns).unionByName(touched.mapInArrow(_cut(cuts), docs.schema))
