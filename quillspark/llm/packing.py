@@ -3,14 +3,15 @@
 Texts become token ids, texts of over 4096 ids are cut into pieces of 4096, and the pieces are
 packed into as few sequences of 4096 as the plan finds. The plan works on counts by length alone,
 so its size is bounded by the sequence length (at most a few patterns a length), not by the
-corpus: from the longest piece down, the lengths still available are scanned for a single, pair or
-triple that fills each gap exactly (there is no index of sums; the last part is looked up), and the combination is consumed as often as its scarcest length allows. What no exact
-complement fits is packed best fit, again in whole counts.
+corpus. From the longest piece down, the gap that it leaves is looked up in indexes of the lengths,
+of their pair sums and of their triple sums; a combination that fills the gap exactly is consumed
+as often as its scarcest length allows, and combinations whose lengths are used up leave the index.
+What no exact complement fits is packed best fit, again in whole counts.
 
 Plan: one Arrow pass writes a narrow row for each piece with its number among the pieces of its
 length in its task. Counts by task and length give every piece a global number in its length by
 a window over tasks, not over pieces; the plan then maps (length, number) to a sequence and an
-offset. Only the plan is broadcast. Ids are not carried along, only their checksums.
+offset by binary search. Only the plan is broadcast. Ids are not carried along, only their checksums.
 """
 
 from __future__ import annotations
@@ -20,21 +21,23 @@ import zlib
 from bisect import bisect_left
 from collections import defaultdict
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quillspark.llm.common import blocks, documents
+from quillspark.llm.common import Memo, blocks, documents
 from quillspark.runtime import stash
 
 LENGTH, END = 4096, 1
+#: Bits of a piece's number among those of its length.
+NUMBERS = 44
 VOCABULARY = "word_bpe_49k.json"
-#: Chunks and words a task remembers before it starts anew.
-REMEMBERED = 800_000
+#: Bytes of chunks and words that a worker remembers.
+REMEMBERED = 128 << 20
 
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: White space to str.split() that is none to the tokenizer, and a letter whose lower case depends on its place.
@@ -54,48 +57,46 @@ class WordTokenizer:
     """Ids of whole texts as little-endian bytes, by a public tokenizer that drops white space.
 
     The tokenizer splits a text into words first and never merges across them, so words are encoded
-    once and remembered. Texts with a character that only matters in context go to it whole.
+    once and remembered. Texts with a character that only matters in context or with an added token
+    (``<|endoftext|>``) go to it whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         names = self.tokenizer.get_vocab()
         self.last = np.zeros(max(names.values()) + 1, bool)
         self.last[[i for name, i in names.items() if name.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.known = Memo(REMEMBERED)
 
     def _learn(self, texts: list[list[str]]) -> None:
         """Encode the chunks of ``texts`` that are not known yet."""
-        if len(self.chunks) > REMEMBERED:
-            self.chunks.clear()
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        new = set().union(*texts).difference(self.chunks)
-        split = {c: _split(c) for c in new}
-        fresh = list(set().union(*split.values()).difference(self.words))
+        self.known.turn()
+        split = {c: _split(c) for c in self.known.missing(set().union(*texts))}
+        fresh = list(self.known.missing(set().union(*split.values())))
         for at in range(0, len(fresh), 512):
             part = fresh[at : at + 512]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(part):
-                starts = [0, *ends[:-1].tolist()]
-                self.words.update({w: ids[a:b].tobytes() for w, a, b in zip(part, starts, ends.tolist())})
+                whole = ids.tobytes()
+                cuts = [0, *(4 * ends).tolist()]
+                self.known.add({w: whole[a:b] for w, a, b in zip(part, cuts, cuts[1:])})
             else:
-                self.words.update({w: self._whole(w) for w in part})
-        known = self.words.__getitem__
-        self.chunks.update({chunk: b"".join(map(known, pieces)) for chunk, pieces in split.items()})
+                self.known.add({w: self._whole(w) for w in part})
+        known = self.known.young.__getitem__
+        self.known.add({chunk: b"".join(map(known, pieces)) for chunk, pieces in split.items() if pieces != (chunk,)})
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = {i: unicodedata.normalize("NFC", t).lower().split() for i, t in enumerate(texts) if not _ODD.search(t)}
+        odd = [_ODD.search(t) or any(x in t for x in self.added) for t in texts]
+        plain = {i: unicodedata.normalize("NFC", t).lower().split() for i, t in enumerate(texts) if not odd[i]}
         self._learn(list(plain.values()))
-        known = self.chunks.__getitem__
+        known = self.known.young.__getitem__
         return [b"".join(map(known, plain[i])) if i in plain else self._whole(t) for i, t in enumerate(texts)]
 
 
@@ -135,6 +136,43 @@ def _cut(path: str, length: int):
     return run
 
 
+class Sums:
+    """Indexes of the available lengths by their pair and triple sums.
+
+    A sum's combinations are listed when it is first looked up, long parts first, and lose those whose
+    lengths are used up; lengths never come back, so every combination is looked at once or twice.
+    """
+
+    def __init__(self, left: dict[int, int]):
+        self.left = left
+        self.pairs: dict[int, list[tuple[int, int]]] = {}
+        self.triples: dict[int, list[int]] = {}
+
+    def has(self, *parts: int) -> bool:
+        return all(self.left.get(n, 0) >= parts.count(n) for n in parts)
+
+    def pair(self, total: int, most: int, *others: int) -> tuple[int, int] | None:
+        """Two available lengths of at most ``most`` that sum to ``total``, beside ``others``."""
+        if total not in self.pairs:
+            self.pairs[total] = [(a, total - a) for a in sorted(self.left) if 2 * a >= total and total - a in self.left]
+        found = self.pairs[total]
+        while found and not self.has(*found[-1]):
+            found.pop()
+        return next((p for p in reversed(found) if p[0] <= most and self.has(*p, *others)), None)
+
+    def triple(self, total: int, most: int, *others: int) -> tuple[int, int, int] | None:
+        """Three available lengths of at most ``most`` that sum to ``total``, beside ``others``."""
+        if total not in self.triples:
+            self.triples[total] = [a for a in sorted(self.left) if 3 * a >= total and a <= total - 2]
+        firsts = self.triples[total]
+        while firsts and not self.left.get(firsts[-1]):
+            firsts.pop()
+        for a in reversed(firsts):
+            if a <= most and self.has(a, *others) and (rest := self.pair(total - a, a, a, *others)):
+                return a, *rest
+        return None
+
+
 def plan(counts: dict[int, int], capacity: int = LENGTH) -> list[tuple[tuple[int, ...], int]]:
     """Patterns ``(lengths, times)`` that pack ``counts`` (pieces by length) into bins of ``capacity``."""
     left = {n: c for n, c in counts.items() if c > 0}
@@ -151,18 +189,14 @@ def plan(counts: dict[int, int], capacity: int = LENGTH) -> list[tuple[tuple[int
             if not left[n]:
                 del left[n]
 
-    def has(*parts: int) -> bool:
-        return all(left.get(n, 0) >= parts.count(n) for n in parts)
-
     if left.get(capacity):
         use((capacity,))
+    sums = Sums(left)
     # Exact complements, longest first: a single, a pair or a triple that fills the gap.
-    for most in (1, 2, 3):
+    lookups = (lambda gap, n: (gap,) if gap <= n and sums.has(n, gap) else None, lambda gap, n: sums.pair(gap, n, n), lambda gap, n: sums.triple(gap, n, n))
+    for lookup in lookups:
         for first in sorted(left, reverse=True):
-            while left.get(first):
-                found = _complement(capacity - first, first, most, left, has)
-                if not found:
-                    break
+            while left.get(first) and (found := lookup(capacity - first, first)):
                 use((first, *found))
     # Residuals, best fit: the longest piece that fits, as long as one does.
     order = sorted(left)
@@ -184,25 +218,49 @@ def plan(counts: dict[int, int], capacity: int = LENGTH) -> list[tuple[tuple[int
     return made
 
 
-def _complement(gap: int, first: int, most: int, left: dict[int, int], has) -> tuple[int, ...] | None:
-    """One to three available lengths of at most ``first`` that sum to ``gap``; long ones first."""
-    if most == 1:
-        return (gap,) if has(first, gap) else None
-    lengths = sorted((n for n in left if n <= min(gap, first)), reverse=True)
-    if most == 2:
-        for a in lengths:
-            if 2 * a < gap:
-                break
-            if has(first, a, gap - a):
-                return a, gap - a
-        return None
-    for a in lengths:
-        if 3 * a < gap:
-            break
-        for b in range(min(a, gap - a - 1), (gap - a - 1) // 2, -1):
-            if b in left and has(first, a, b, gap - a - b):
-                return a, b, gap - a - b
-    return None
+class Places(NamedTuple):
+    """The plan as ranges of the pieces of a length: (length, first number), sequence and offsets."""
+
+    keys: np.ndarray  # length << NUMBERS | first number, sorted
+    sequence: np.ndarray
+    slots: np.ndarray  # pieces of the length in each sequence of the range
+    starts: np.ndarray  # of the range's offsets
+    offsets: np.ndarray
+
+    def find(self, length: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sequence and offset of pieces by length and number."""
+        at = np.searchsorted(self.keys, (length << NUMBERS) | number, "right") - 1
+        k = number - (self.keys[at] & ((1 << NUMBERS) - 1))
+        return self.sequence[at] + k // self.slots[at], self.offsets[self.starts[at] + k % self.slots[at]]
+
+
+def places(patterns: list[tuple[tuple[int, ...], int]]) -> Places:
+    rows, done, sequence = [], defaultdict(int), 0
+    for pattern, times in patterns:
+        offset, slots = 0, defaultdict(list)
+        for n in pattern:
+            slots[n].append(offset)
+            offset += n
+        for n, offsets in slots.items():
+            rows.append((n << NUMBERS | done[n], sequence, offsets))
+            done[n] += times * len(offsets)
+        sequence += times
+    rows.sort()
+    slots = np.array([len(r[2]) for r in rows], np.int64)
+    flat = np.array([x for r in rows for x in r[2]], np.int64)
+    return Places(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), slots, np.cumsum(slots) - slots, flat)
+
+
+def _place(shared):
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                found = shared.value.find(batch.column("length").to_numpy(), batch.column("at").to_numpy())
+                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), *map(pa.array, found)], [*names, "sequence_id", "offset"])
+
+    return run
 
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, length: int = LENGTH) -> DataFrame:
@@ -220,35 +278,16 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, length: int = LENGT
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, number long, task long"
     pieces = stash(docs.select("doc_id", "text").mapInArrow(_cut(tokenizer_path, length), schema), "packing").df
+    # Not written: the narrow rows are counted again where the counts are needed.
     counts = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
-    counts = stash(counts, "packing-counts").df
     by = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("task", "length", F.coalesce(F.sum("n").over(by), F.lit(0)).alias("base"))
     # At most one row a length: the plan's input and output are bounded by the sequence length.
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    rows, done, sequence = [], defaultdict(int), 0
-    for pattern, times in plan(totals, length):
-        offset, slots = 0, defaultdict(list)
-        for n in pattern:
-            slots[n].append(offset)
-            offset += n
-        for n, offsets in slots.items():
-            rows.append((n, done[n], sequence, offsets))
-            done[n] += times * len(offsets)
-        sequence += times
-    places = T.StructType().add("length", "long").add("from", "long").add("sequence", "long").add("offsets", T.ArrayType(T.LongType()))
-    ranges = spark.createDataFrame(rows, places)
-    # Each length's ranges as one sorted array: an equi-join, and a search in the array.
-    by_length = ranges.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("from", "sequence", "offsets"))).alias("ranges"))
+    shared = spark.sparkContext.broadcast(places(plan(totals, length)))
     placed = pieces.join(bases, ["task", "length"]).withColumn("at", F.col("number") + F.col("base"))
-    placed = placed.join(F.broadcast(by_length), "length")
-    hit = F.element_at(F.filter("ranges", lambda r: r["from"] <= F.col("at")), -1)
-    placed = placed.withColumn("hit", hit).withColumn("k", F.col("at") - F.col("hit.from")).withColumn("slots", F.size("hit.offsets"))
-    return placed.select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
-        (F.col("hit.sequence") + F.floor(F.col("k") / F.col("slots"))).cast("long").alias("sequence_id"),
-        F.element_at("hit.offsets", (F.col("k") % F.col("slots") + 1).cast("int")).alias("offset"),
-    )
+    placed = placed.select("doc_id", "piece", "start", "length", "ids_crc32", "at")
+    return placed.mapInArrow(_place(shared), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
