@@ -6,7 +6,7 @@ inverted index from pair to word positions, keyed by the rank of the merged toke
 in rank order; a merge touches only its two neighbours, whose new pairs enter the index. A merge
 that brings up a lower rank is followed at once, as encoding word by word would. Since ranks are
 fixed, a word's ids do not depend on the block, so blocks are independent and tasks remember
-words between them (up to a limit, then they start anew).
+words between them, within a bound on bytes.
 
 A narrow map: no shuffle, nothing broadcast but the path of the vocabulary.
 """
@@ -22,11 +22,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm.common import blocks, documents
+from quillspark.llm.common import Memo, blocks, documents
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Words and chunks a task remembers before it starts anew.
-REMEMBERED = 600_000
+#: Bytes of words, and of chunks, that a worker remembers.
+REMEMBERED = 64 << 20
 #: New words replayed together: few enough for the index to stay in a CPU's cache.
 AT_ONCE = 1000
 
@@ -119,16 +119,14 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.edge = regex.compile(r"^\s|\s$|^$").search
         self.bytes_of = {b"%d" % i: token for i, token in self.replay.tokens.items()}
-        self.words: dict[str, bytes] = {}
-        self.first: dict[str, bytes | None] = {}
-        self.spaced: dict[str, bytes | None] = {}
+        self.words, self.first, self.spaced = Memo(REMEMBERED), Memo(REMEMBERED // 4), Memo(REMEMBERED)
 
     def _learn_words(self, words: set[str]) -> None:
-        fresh = list(words.difference(self.words))
+        fresh = list(self.words.missing(words))
         for at in range(0, len(fresh), AT_ONCE):
             part = fresh[at : at + AT_ONCE]
-            for word, ids in zip(part, self.replay.encode([w.encode() for w in part])):
-                self.words[word] = b"".join([b" %d" % i for i in ids])
+            replayed = self.replay.encode([w.encode() for w in part])
+            self.words.add({word: b"".join([b" %d" % i for i in ids]) for word, ids in zip(part, replayed)})
 
     def _spaced_words(self, chunk: str) -> list[str] | None:
         """Words of a chunk behind a space; letters, or letters and one mark, need no pattern."""
@@ -140,31 +138,31 @@ class Encoder:
 
     def _learn(self, texts: list[list[str]]) -> None:
         for known in (self.words, self.first, self.spaced):
-            if len(known) > REMEMBERED:
-                known.clear()
-        heads = {chunks[0] for chunks in texts}.difference(self.first)
-        tails = set().union(*(chunks[1:] for chunks in texts)).difference(self.spaced)
+            known.turn()
+        heads = self.first.missing({chunks[0] for chunks in texts})
+        tails = self.spaced.missing(set().union(*(chunks[1:] for chunks in texts)))
         # Between single spaces a chunk splits alike wherever it stands, unless white space is at its edge.
         split = {(c, False): None if self.edge(c) else self.find(c) for c in heads}
         split.update({(c, True): self._spaced_words(c) for c in tails})
         self._learn_words(set().union(*(x for x in split.values() if x)))
-        known = self.words.__getitem__
-        for (chunk, spaced), words in split.items():
-            (self.spaced if spaced else self.first)[chunk] = None if words is None else b"".join(map(known, words))
+        known = self.words.young.__getitem__
+        for memo, side in ((self.first, False), (self.spaced, True)):
+            memo.add({chunk: None if words is None else b"".join(map(known, words)) for (chunk, spaced), words in split.items() if spaced == side})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, every one with a space before it."""
         cut = [t.split(" ") for t in texts]
         self._learn(cut)
         out: list[bytes] = []
+        spaced = self.spaced.young.__getitem__
         for text, chunks in zip(texts, cut):
-            head = self.first[chunks[0]]
+            head = self.first.young[chunks[0]]
             try:
-                out.append(head + b"".join(map(self.spaced.__getitem__, chunks[1:])))
+                out.append(head + b"".join(map(spaced, chunks[1:])))
             except TypeError:  # white space that the split at spaces would treat wrongly
                 words = self.find(text)
                 self._learn_words(set(words))
-                out.append(b"".join(map(self.words.__getitem__, words)))
+                out.append(b"".join(map(self.words.young.__getitem__, words)))
         return out
 
     def decode(self, ids: bytes) -> bytes:
