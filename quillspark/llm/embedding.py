@@ -3,38 +3,45 @@
 Vectors are normalised in double precision and exact copies collapse to one row first. Coarse
 centroids (k-means) and residual codebooks are fitted on a bounded sample; every vector is indexed
 in the inverted list of its nearest centroid with one byte a subspace and the length of its
-quantisation error. A query probes the lists that can hold a partner: the distance from the query
-to the plane between its own centroid's cell and another cell bounds how near a vector of that
-cell can be. Inside a list, table look-ups give the distance to the coded vector; as the error's
-length is known, the triangle inequality rules a vector out only if its true distance is too
-large, so coding loses no link. What is left gets its exact cosine in double precision.
-
-Lists are cut into blocks of bounded size, and a query goes to every block of a probed list, so a
-list with a third of all vectors is shared by many tasks. A task holds one block and streams the
-queries past it; it emits a count a query and a spanning forest of the block's links, never all
-pairs of a group.
+quantisation error. A vector probes the lists that can hold a partner: its distance to the plane
+between its own centroid's cell and another cell bounds how near a vector of that cell can be, and
+every list within the bound is probed. Table look-ups then give the inner product with the coded
+vector; as the error's length is known, the triangle inequality rules a vector out only if its true
+distance is too large. What is left gets its exact cosine in double precision. Neither the probes nor
+the codes lose a link, so recall is 1 whatever the data.
+
+The index lies in the shared folder: the vectors, in the order of their lists, are cut into blocks of
+bounded size, one file each, with a catalogue of the lists in every block and of the lists its
+vectors probe. A task loads a block and, one after the other, the blocks that hold a probed list
+(each pair of blocks is met by one task), so vectors are not copied through a shuffle, a list with a third of all
+vectors is shared by many tasks, and a task that is run again reads the same files. Links inside a
+block are joined to groups when it is written; a pair of blocks emits one link for two groups that
+meet, and one count a vector, never all pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import table
 from quillspark.operators.components import connected_components
-from quillspark.runtime import stash
+from quillspark.runtime import shared_path, stash
 
 SIMILAR = 0.95
 #: Most coarse lists; sample rows a list; dimensions of a subspace; codewords of a subspace.
 MOST_LISTS, SAMPLE_A_LIST, SUBSPACE, CODEWORDS = 4096, 16, 8, 256
-#: Vectors of a block. Share of the exact bound on the plane's distance that a probe must keep:
-#: at 1 every link is found, from both its ends; less loses links where vectors have few free dimensions.
-BLOCK, MARGIN = 4096, 1.0
+#: Most bytes of the sample, most vectors and bytes of a block, blocks that are met in one go.
+SAMPLE_BYTES, BLOCK, BLOCK_BYTES, RUN = 32 << 20, 2048, 4 << 20, 8
+#: Vectors that are looked up together, and what a bound may be off by rounding.
+STEP, SLACK = 256, 1e-5
 
 
 class Quantiser(NamedTuple):
@@ -57,17 +64,21 @@ class Quantiser(NamedTuple):
             error += ((part - book[codes[:, m]]) ** 2).sum(axis=1)
         return codes, np.sqrt(error)
 
-    def tables(self, residuals: np.ndarray) -> list[np.ndarray]:
-        """Squared distances of each query residual to every codeword, by subspace."""
-        parts = [residuals[:, self.edges[m] : self.edges[m + 1]] for m in range(len(self.books))]
-        return [np.maximum(0, (p * p).sum(axis=1)[:, None] - 2 * p @ b.T + (b * b).sum(axis=1)) for p, b in zip(parts, self.books)]
+    def coded(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that the codes stand for."""
+        return self.centroids[lists] + np.concatenate([book[codes[:, m]] for m, book in enumerate(self.books)], axis=1)
+
+
+def nearest(x: np.ndarray, centroids: np.ndarray, step: int = 2048) -> np.ndarray:
+    norms = (centroids**2).sum(axis=1)
+    return np.concatenate([(-2 * x[a : a + step] @ centroids.T + norms).argmin(axis=1) for a in range(0, len(x), step)])
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centroids = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        own = (-2 * x @ centroids.T + (centroids**2).sum(axis=1)).argmin(axis=1)
+        own = nearest(x, centroids)
         sums = np.zeros_like(centroids)
         np.add.at(sums, own, x)
         counts = np.bincount(own, minlength=len(centroids))
@@ -78,7 +89,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
 def fit(sample: np.ndarray, lists: int) -> Quantiser:
     centroids = kmeans(sample, lists)
     edges = np.append(np.arange(0, sample.shape[1], SUBSPACE), sample.shape[1])
-    own = (-2 * sample @ centroids.T + (centroids**2).sum(axis=1)).argmin(axis=1)
+    own = nearest(sample, centroids)
     residuals = sample - centroids[own]
     books = [kmeans(residuals[:, a:b], CODEWORDS) for a, b in zip(edges[:-1], edges[1:])]
     return Quantiser(centroids, books, edges)
@@ -112,148 +123,212 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(cells), np.float64).reshape(len(cells), -1)
 
 
-ROWS = "list int, block int, query boolean, id long, copies long, unit binary, code binary, error double"
-_NAMES = ["list", "block", "query", "id", "copies", "unit", "code", "error"]
-_KINDS = [pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64()]
-
-
-def probes(quantiser: Quantiser, x: np.ndarray, reach: float, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Nearest list of each row, and (row, list) of the lists that it probes."""
-    apart = quantiser.coarse(x)
-    own = apart.argmin(axis=1)
-    between = np.sqrt(np.maximum(0, quantiser.coarse(quantiser.centroids)))[own]
-    plane = (apart - apart[np.arange(len(x)), own][:, None]) / np.maximum(2 * between, 1e-12)
-    row, at = np.nonzero((plane <= margin * reach) | (np.arange(apart.shape[1]) == own[:, None]))
-    return own, row, at
-
+class Block(NamedTuple):
+    """Vectors of neighbouring lists; ``group`` is the first row that a row's links inside the block lead to."""
+
+    id: np.ndarray
+    copies: np.ndarray
+    list: np.ndarray
+    code: np.ndarray
+    error: np.ndarray
+    unit: np.ndarray
+    group: np.ndarray
+
+    def write(self, path: str) -> None:
+        cells = lambda x: pa.FixedSizeBinaryArray.from_buffers(pa.binary(x[0].nbytes), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())])
+        columns = [pa.array(self.id), pa.array(self.copies), pa.array(self.list), cells(self.code), pa.array(self.error), cells(self.unit), pa.array(self.group)]
+        batch = pa.RecordBatch.from_arrays(columns, list(self._fields))
+        fs, name = pafs.FileSystem.from_uri(path)
+        fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
+        with fs.open_output_stream(name, compression=None) as out, pa.ipc.new_file(out, batch.schema) as writer:
+            writer.write_batch(batch)
+
+
+def read_block(path: str) -> Block:
+    fs, name = pafs.FileSystem.from_uri(path)
+    with fs.open_input_file(name) as file:
+        batch = pa.ipc.open_file(file).get_batch(0)
+    numbers = lambda x: batch.column(x).to_numpy()
+    cells = lambda x, kind: np.frombuffer(batch.column(x).buffers()[1], kind).reshape(batch.num_rows, -1)
+    return Block(numbers("id"), numbers("copies"), numbers("list"), cells("code", np.uint8), numbers("error"), cells("unit", np.float64), numbers("group"))
+
+
+def probes(quantiser: Quantiser, x: np.ndarray, reach: float) -> np.ndarray:
+    """Lists that can hold a vector within ``reach`` of one of ``x``."""
+    found = np.zeros(len(quantiser.centroids), bool)
+    for start in range(0, len(x), STEP):
+        apart = quantiser.coarse(x[start : start + STEP])
+        own = apart.argmin(axis=1)
+        between = np.sqrt(quantiser.coarse(quantiser.centroids[own]))
+        plane = (apart - apart[np.arange(len(own)), own][:, None]) / np.maximum(2 * between, 1e-12)
+        found |= ((plane <= reach + SLACK) | (np.arange(apart.shape[1]) == own[:, None])).any(axis=0)
+    return np.flatnonzero(found)
+
+
+def matches(quantiser: Quantiser, left: Block, right: Block, similar: float):
+    """Rows of two blocks whose cosine is ``similar`` or more, so many rows of ``left`` at a time."""
+    reach = float(np.sqrt(2 - 2 * similar))
+    coded = quantiser.coded(right.list, right.code)
+    # |q - coded| - error <= reach, in terms of the inner product.
+    least = ((1 + (coded * coded).sum(axis=1) - (reach + right.error) ** 2) / 2 - SLACK).astype(np.float32)
+    lists, column = np.unique(right.list, return_inverse=True)
+    for start in range(0, len(left.id), STEP):
+        q = left.unit[start : start + STEP]
+        product = (quantiser.centroids[lists] @ q.T).astype(np.float32)[column]
+        for m, book in enumerate(quantiser.books):
+            product += (book @ q[:, quantiser.edges[m] : quantiser.edges[m + 1]].T).astype(np.float32)[right.code[:, m]]
+        at, row = np.nonzero(product >= least[:, None])
+        if len(at) > len(q) * len(right.id) // 16:
+            ok = (right.unit @ q.T)[at, row] >= similar
+        else:
+            parts = range(0, len(at), 1 << 14)
+            ok = np.concatenate([np.einsum("ij,ij->i", q[row[a : a + (1 << 14)]], right.unit[at[a : a + (1 << 14)]]) for a in parts] or [np.empty(0)]) >= similar
+        if ok.any():
+            yield row[ok] + start, at[ok]
+
+
+def joined(pairs, group: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Pairs of groups that join what all ``pairs`` of rows join, and the joined groups."""
+    parent, links = np.arange(len(group)), []
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def unite(a: np.ndarray, b: np.ndarray) -> None:
+        for x, y in np.unique(np.stack([a, b], axis=1), axis=0).tolist():
+            s, t = find(x), find(y)
+            if s != t:
+                parent[max(s, t)] = min(s, t)
+                links.append((x, y))
+
+    def flat() -> np.ndarray:
+        nonlocal parent
+        while (up := parent[parent] != parent).any():
+            parent = np.where(up, parent[parent], parent)
+        return parent[group]
+
+    now = group
+    for i, j in pairs:
+        # Each row's first partner, then whatever that leaves apart.
+        for first in (True, False):
+            apart = np.flatnonzero(now[i] != now[j])
+            if first:
+                apart = apart[np.unique(i[apart], return_index=True)[1]]
+            if len(apart):
+                unite(group[i[apart]], group[j[apart]])
+                now = flat()
+    return links, now
+
+
+def _write_blocks(shared, folder: str, similar: float):
+    reach = float(np.sqrt(2 - 2 * similar))
 
-def _index(shared, sizes, reach: float, margin: float):
     def run(batches):
         quantiser: Quantiser = shared.value
-        blocks_of = np.maximum(1, -(-sizes // BLOCK))
+        held: list = []
+
+        def close(batch):
+            x = _matrix(batch.column("unit"))
+            lists = batch.column("list").to_numpy()
+            code, error = quantiser.encode(x - quantiser.centroids[lists])
+            block = Block(batch.column("id").to_numpy(), batch.column("copies").to_numpy(), lists, code, error, x, np.arange(len(x)))
+            block = block._replace(group=joined(matches(quantiser, block, block, similar), block.group)[1])
+            path = f"{folder}/{uuid.uuid4().hex}.arrow"
+            block.write(path)
+            columns = [pa.array([path]), pa.array([np.unique(lists)], pa.list_(pa.int32())), pa.array([probes(quantiser, x, reach)], pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays(columns, ["path", "lists", "probes"])
+
+        rows = 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                x, units = _matrix(part.column("unit")), part.column("unit")
-                ids, copies = part.column("id").to_numpy(), part.column("copies").to_numpy()
-                own, row, at = probes(quantiser, x, reach, margin)
-                codes, error = quantiser.encode(x - quantiser.centroids[own])
-                mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                mine = (mixed % blocks_of[own].astype(np.uint64)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own, pa.int32()), pa.array(mine), pa.array(np.zeros(len(x), bool)), pa.array(ids), pa.array(copies), units, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)],
-                    _NAMES,
-                )
-                times = blocks_of[at]
-                row, at = np.repeat(row, times), np.repeat(at, times)
-                block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                for a in range(0, len(row), 8192):
-                    r = row[a : a + 8192]
-                    n = len(r)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(at[a : a + n], pa.int32()), pa.array(block[a : a + n], pa.int32()), pa.array(np.ones(n, bool)), pa.array(ids[r]), pa.array(copies[r]), units.take(pa.array(r)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.float64())],
-                        _NAMES,
-                    )
+            while batch.num_rows:
+                most = max(1, min(BLOCK, BLOCK_BYTES // len(batch.column("unit")[0].as_py())))
+                part = batch.slice(0, most - rows)
+                held.append(part)
+                rows += part.num_rows
+                batch = batch.slice(part.num_rows)
+                if rows == most:
+                    yield close(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                    held, rows = [], 0
+        if held:
+            yield close(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     return run
 
 
-def _search(shared, similar: float):
-    reach = float(np.sqrt(2 - 2 * similar))
+def _meet(shared, similar: float):
+    """Pairs of blocks ``(a, b)`` in, links of groups and counts of linked rows out."""
+
+    def out(u, v, n):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v, n)], ["u", "v", "n"])
 
     def run(batches):
         quantiser: Quantiser = shared.value
-        block = held = None
-
-        def out(u, v, n):
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(n, pa.int64())], ["u", "v", "n"])
-
-        def load(rows):
-            ids = np.concatenate([r.column("id").to_numpy() for r in rows])
-            copies = np.concatenate([r.column("copies").to_numpy() for r in rows])
-            x = np.concatenate([_matrix(r.column("unit")) for r in rows])
-            code = np.concatenate([np.frombuffer(b"".join(r.column("code").to_pylist()), np.uint8).reshape(r.num_rows, -1) for r in rows])
-            error = np.concatenate([r.column("error").to_numpy() for r in rows])
-            return ids, copies, x, code, error, np.arange(len(ids))
-
-        def match(part, where):
-            ids, copies, x, code, error, group = held
-            mine, q = part.column("id").to_numpy(), _matrix(part.column("unit"))
-            tables = quantiser.tables(q - quantiser.centroids[where])
-            approx = np.zeros((len(q), len(ids)))
-            for m, t in enumerate(tables):
-                approx += t[:, code[:, m]]
-            row, at = np.nonzero(np.sqrt(approx) - error[None, :] <= reach + 1e-9)
-            cosine = np.concatenate([np.einsum("ij,ij->i", q[row[a : a + 65_536]], x[at[a : a + 65_536]]) for a in range(0, len(row), 65_536)]) if len(row) else np.empty(0)
-            ok = (cosine >= similar) & (mine[row] != ids[at])
-            row, at = row[ok], at[ok]
-            u, v, n = [], [], []
-            if len(row):
-                cuts = np.flatnonzero(np.diff(row)) + 1
-                for near in np.split(np.arange(len(row)), cuts):
-                    who, others = int(mine[row[near[0]]]), at[near]
-                    groups, first = np.unique(group[others], return_index=True)
-                    counts = [int(copies[others].sum())] + [0] * (len(groups) - 1)
-                    u += [who] * len(groups)
-                    v += ids[others[first]].tolist()
-                    n += counts
-                    if len(groups) > 1:
-                        group[np.isin(group, groups)] = groups[0]
-            return out(u, v, n)
-
-        pending: list = []
+        name, left = None, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column("list").to_numpy(), batch.column("block").to_numpy(), batch.column("query").to_numpy(zero_copy_only=False).astype(np.int32)], axis=1)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
-                where, number, query = keys[a].tolist()
-                if block != (where, number):
-                    block, held, pending = (where, number), None, []
-                part = batch.slice(a, b - a)
-                if not query:
-                    pending.append(part)
-                    continue
-                if held is None:
-                    if not pending:
-                        continue
-                    held, pending = load(pending), []
-                for start in range(0, part.num_rows, 256):
-                    yield match(part.slice(start, 256), where)
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                if a != name:
+                    name, left = a, read_block(a)
+                right = left if a == b else read_block(b)
+                # Rows of the right block are numbered on from those of the left one.
+                base = 0 if a == b else len(left.id)
+                ids = left.id if a == b else np.concatenate([left.id, right.id])
+                counts = np.zeros(len(ids), np.int64)
+
+                def pairs(left=left, right=right, base=base, counts=counts):
+                    for i, j in matches(quantiser, left, right, similar):
+                        if base == 0:
+                            i, j = i[i != j], j[i != j]
+                        np.add.at(counts, i, right.copies[j])
+                        if base:
+                            np.add.at(counts, j + base, left.copies[i])
+                        yield i, j + base
+
+                group = np.arange(len(ids)) if a == b else np.concatenate([left.group, right.group + base])
+                links, _ = joined(pairs(), group)
+                some = np.flatnonzero(counts)
+                if len(some):
+                    yield out(ids[some], [None] * len(some), counts[some])
+                if links:
+                    yield out(ids[[x for x, _ in links]], ids[[y for _, y in links]], [0] * len(links))
 
     return run
 
 
-def _links(reps: DataFrame, similar: float, margin: float) -> DataFrame:
-    """``(u, v, n)`` of distinct vectors of one size: spanning links, and in ``n`` parts of u's linked rows."""
+def _links(reps: DataFrame, similar: float) -> DataFrame:
+    """Of distinct vectors of one size ``(u, v, n)``: links that join what all links join (n is 0), and
+    with a null ``v`` in ``n`` parts of the rows linked with u."""
     spark = reps.sparkSession
-    total = reps.count()
-    lists = int(min(MOST_LISTS, max(1, 2 * round(total**0.5))))
+    total, bytes_ = reps.agg(F.count("*"), F.max(F.octet_length("unit"))).first()
+    most = max(1, min(SAMPLE_BYTES // bytes_, MOST_LISTS * SAMPLE_A_LIST))
+    lists = int(max(1, min(MOST_LISTS, 2 * round(total**0.5), most // SAMPLE_A_LIST)))
     most = lists * SAMPLE_A_LIST
     sample = reps if total <= most else reps.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * most / total))
     quantiser = fit(_matrix(sample.orderBy("id").select("unit").toArrow().column("unit").combine_chunks()), lists)
     shared = spark.sparkContext.broadcast(quantiser)
-    reach = float(np.sqrt(2 - 2 * similar))
-    n_lists = len(quantiser.centroids)
 
-    def sizes(batches):
+    def listed(batches):
         for batch in batches:
             if batch.num_rows:
-                own = np.concatenate([shared.value.coarse(_matrix(batch.column("unit").slice(a, 1024))).argmin(axis=1) for a in range(0, batch.num_rows, 1024)])
-                at, n = np.unique(own, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n, pa.int64())], ["list", "n"])
-
-    counts = np.zeros(n_lists, np.int64)  # one number a list
-    for row in reps.select("unit").mapInArrow(sizes, "list int, n long").groupBy("list").agg(F.sum("n").alias("n")).collect():
-        counts[row["list"]] = row["n"]
-    rows = reps.select("id", "copies", "unit").mapInArrow(_index(shared, counts, reach, margin), ROWS)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "list", "block").sortWithinPartitions("list", "block", "query")
-    return rows.mapInArrow(_search(shared, similar), "u long, v long, n long")
-
+                yield batch.append_column("list", pa.array(nearest(_matrix(batch.column("unit")), shared.value.centroids), pa.int32()))
 
-def near_vectors(embeddings: DataFrame, similar: float = SIMILAR, margin: float = MARGIN) -> DataFrame:
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = reps.select("id", "copies", "unit").mapInArrow(listed, "id long, copies long, unit binary, list int")
+    rows = rows.repartitionByRange(n, "list", "id").sortWithinPartitions("list", "id")
+    written = rows.mapInArrow(_write_blocks(shared, shared_path(spark, "embedding-blocks"), similar), "path string, lists array<int>, probes array<int>")
+    catalogue = stash(written, "embedding-catalogue").df
+    has = catalogue.select(F.col("path").alias("b"), F.explode("lists").alias("list"))
+    wants = catalogue.select(F.col("path").alias("a"), F.explode("probes").alias("list"))
+    # The bound holds from either end, so each pair is met by one of its blocks: which one alternates.
+    pairs = wants.join(has, "list").select("a", "b").distinct()
+    pairs = pairs.where((F.col("a") == F.col("b")) | ((F.col("a") < F.col("b")) == ((F.xxhash64("a").bitwiseXOR(F.xxhash64("b")) % 2) == 0)))
+    pairs = stash(pairs, "embedding-pairs").df.withColumn("run", F.pmod(F.xxhash64("b"), F.lit(max(1, catalogue.count() // RUN))))
+    pairs = pairs.repartition(n, "a", "run").sortWithinPartitions("a", "b")
+    return pairs.mapInArrow(_meet(shared, similar), "u long, v long, n long")
+
+
+def near_vectors(embeddings: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``embeddings(vec_id, embedding)``.
 
     ``n_links`` counts the other rows linked directly, copies included; ``component_id`` is the
@@ -272,10 +347,10 @@ def near_vectors(embeddings: DataFrame, similar: float = SIMILAR, margin: float
     sizes = [r["size"] for r in reps.select("size").distinct().collect()]
     links = spark.createDataFrame([], "u long, v long, n long")
     for size in sizes:
-        links = links.unionByName(_links(reps.where(F.col("size") == size), similar, margin))
+        links = links.unionByName(_links(reps.where(F.col("size") == size), similar))
     links = stash(links, "embedding-links").df
     counts = links.groupBy("u").agg(F.sum("n").alias("n"))
-    parts = connected_components(links)
+    parts = connected_components(links.where("v is not null"))
     joined = reps.select("key", "id", "least", "copies").join(parts.withColumnRenamed("node", "id"), "id", "left")
     joined = joined.withColumn("component", F.coalesce("component", "id")).join(counts.withColumnRenamed("u", "id"), "id", "left")
     joined = stash(joined, "embedding-joined").df
