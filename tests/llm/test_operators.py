@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -9,7 +10,7 @@ import re
 import numpy as np
 import pytest
 
-from quillspark.llm import bpe, chat, embedding, langid, packing, quality, secrets, simhash, suffix, warc
+from quillspark.llm import bpe, chat, common, embedding, langid, packing, quality, secrets, simhash, suffix, warc
 
 RNG = random.Random(11)
 VOCAB = ["".join(RNG.choice("abcdefghijklmnop") for _ in range(RNG.randint(2, 7))) for _ in range(400)]
@@ -64,6 +65,64 @@ def test_line_frequency(spark):
     assert "Cookie" not in cut[0] and len(cut) == 50
 
 
+def brute_good(rows, limit=20, share=0.02, min_kept=0.3):
+    """Texts that pass the quality rules, without boilerplate lines, by (row number): plain loops."""
+    def form(line):
+        return re.sub("[0-9]", "0", " ".join(re.sub("[A-Z]", lambda m: m.group().lower(), line).split()))
+
+    hosts, holders = collections.defaultdict(set), collections.defaultdict(set)
+    for k, (doc, text, source) in enumerate(rows):
+        who = ("row", k) if doc is None else ("doc", doc)
+        hosts[source].add(who)
+        for line in {form(x) for x in (text or "").split("\n") if x.split()}:
+            holders[source, line].add(who)
+    often = {key for key, docs in holders.items() if len(docs) > limit and len(docs) > share * len(hosts[key[0]])}
+    out = {}
+    for k, (_, text, source) in enumerate(rows):
+        tokens = (text or "").split()
+        windows = collections.Counter(tuple(tokens[i : i + 5]) for i in range(len(tokens) - 4))
+        covered = {i + d for i in range(len(tokens) - 4) if windows[tuple(tokens[i : i + 5])] > 1 for d in range(5)}
+        lines = (text or "").split("\n")
+        left = [x for x in lines if not x.split() or (source, form(x)) not in often]
+        words = sum(len(x.split()) for x in left)
+        if len(tokens) >= 10 and 100 * len(covered) <= 20 * len(tokens) and (len(left) == len(lines) or words >= max(10, min_kept * len(tokens))):
+            out[k] = "\n".join(left)
+    return out
+
+
+@pytest.mark.parametrize("shipped", [2_000_000, -1])
+def test_line_rule_is_exact(spark, shipped):
+    """Whole quality stage against plain loops: hosts, null hosts and ids, copies, repeated ids, clashing columns."""
+    rng = random.Random(3)
+    common = [" ".join(rng.choice(VOCAB) for _ in range(rng.randint(3, 12))) for _ in range(12)]
+    rows = []
+    for i in range(700):
+        lines = [rng.choice(common).upper() if rng.random() < 0.4 else f"{rng.choice(common)} {rng.randint(0, 9)}" for _ in range(rng.randint(0, 3))]
+        lines += [" ".join(rng.choice(VOCAB) for _ in range(rng.randint(0, 15))) for _ in range(rng.randint(0, 4))]
+        rng.shuffle(lines)
+        rows.append((rng.choice([None, i, i, i, i % 50]), rng.choice([None, ""]) if i % 90 == 0 else "\n".join(lines), rng.choice([None, "a", "b", "b", "c"])))
+    rows += [(1000 + i, rows[7][1], "b") for i in range(30)]
+    want = brute_good(rows)
+    df = spark.createDataFrame([(*r, k, k, "x", "y") for k, r in enumerate(rows)], "doc_id long, text string, source string, k int, Row_Number int, gone_lines string, rid string").repartition(3)
+    got = {r.k: r.text for r in quality.keep_good(df, most_shipped=shipped).collect()}
+    assert got == want and 100 < len(want) < len(rows) - 100 and any(want[k] != rows[k][1] for k in want)
+    assert quality.quality(df).where("kept").count() == len(want) and quality.keep_good(df.where("false"), most_shipped=shipped).count() == 0
+
+
+CLASHES = "_row_number_ int, row_number string, gone_lines int, cut_spans int, bitmap int, bitmap_bucket string, id int, found int, spans string"
+
+
+def test_stages_keep_clashing_columns(spark):
+    rows = [(r[0], r[1], r[2], r[3], len(r[1] or ""), *range(2), 3, 4, 5, "6", 7, 8, "9") for r in ROWS]
+    rows = [(*r[:6], str(r[6]), *r[7:]) for r in rows]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {CLASHES}").repartition(2)
+    for stage in (quality.keep_good, simhash.keep_one, suffix.keep_originals, secrets.mask_secrets):
+        kept = stage(df)
+        got = kept.collect()
+        assert kept.columns == df.columns and got and {tuple(r)[5:] for r in got} == {(0, "1", 3, 4, 5, "6", 7, 8, "9")}
+        assert all(r.n_chars == len(r.text or "") for r in got) and stage(df.where("false")).count() == 0
+
+
 def brute_components(prints, most):
     label = list(range(len(prints)))
     while True:
@@ -183,6 +242,44 @@ def test_passages(spark, docs, limit):
     assert got == want and suffix.repeated_passages(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [65536, 3])
+@pytest.mark.parametrize("within", [False, True])
+def test_passages_are_exact(spark, limit, within):
+    """Start, stop and original of every passage by brute force; repeats inside one text alone count only if asked for."""
+    rng = random.Random(31)
+    shared = [" ".join(rng.choice(VOCAB[:60]) for _ in range(rng.randint(45, 140))) for _ in range(8)]
+    alone = " ".join(rng.choice(VOCAB) for _ in range(70))
+    rows = [(None, None), (40, ""), (41, alone + " x " + alone), (42, " ".join(["again"] * 130))]
+    for k in range(45):
+        parts = [p for _ in range(rng.randint(1, 4)) for p in (" ".join(rng.choice(VOCAB) for _ in range(rng.randint(0, 60))), rng.choice(shared))]
+        rows.append((rng.choice([None, k, k, 7]), rng.choice([" ", "\n"]).join(parts)))
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, place long").repartition(3)
+    number = {k: i for i, (k,) in enumerate(df.select("place").collect())}
+    places = collections.defaultdict(list)
+    for k, (doc, text) in enumerate(rows):
+        tokens = (text or "").split()
+        for i in range(len(tokens) - 49):
+            places[tuple(tokens[i : i + 50])].append((doc is None, doc or 0, number[k], i, k))
+    want, later = collections.defaultdict(set), collections.defaultdict(set)
+    for found in places.values():
+        if len({x[4] for x in found}) > 1 or (within and len(found) > 1):
+            first = min(found)
+            for x in found:
+                want[x[4], first[4]] |= set(range(x[3], x[3] + 50))
+                if x != first:
+                    later[x[4]] |= set(range(x[3], x[3] + 50))
+    got, cut = collections.defaultdict(set), collections.defaultdict(set)
+    numbered = df.withColumn("rid", df["place"]).cache()
+    # Rows of one doc_id are ordered by row number, so the row number must follow the brute order.
+    numbered = spark.createDataFrame([(r.doc_id, r.text, number[r.place], r.place) for r in numbered.collect()], "doc_id long, text string, rid long, place long").repartition(3)
+    back = {i: k for k, i in number.items()}
+    for r in suffix.repeated_passages(numbered, "rid", run_limit=limit, within=within).collect():
+        got[back[r.rid], back[r.first_rid]] |= set(range(r.start, r.stop))
+        if r.later:
+            cut[back[r.rid]] |= set(range(r.start, r.stop))
+    assert got == want and cut == later and (any(k == 2 for k, _ in got) == within)
+
+
 def test_cut_passages(docs):
     left = {r.doc_id: r.text for r in suffix.keep_originals(docs).collect()}
     assert left[0] == BASE and 1 not in left and PASSAGE in left[3] and PASSAGE not in left[4] and left[5] is None and left[6] == ""
@@ -221,6 +318,79 @@ def test_packing(docs):
     assert len(by) <= math.ceil(sum(r.length for r in rows) / 64) + 1
 
 
+def test_packing_ids_follow_the_contract(spark):
+    """piece, start, length and ids_crc32 against the tokenizer itself, markers and odd characters included."""
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own, rng = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), random.Random(8)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|", "endoftext", "Word's", " ", "\n", "\x1c", "é", "É", "Σ", "İ", "字", "😀", "12", "...", "aaaaaaaaaaaaaaaa", "'S", "\xa0", "\x00", "\x7f"]
+    texts = ["see <|endoftext|> here", None, "", " "] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), length=32).collect()
+    got = sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
+    want = []
+    for k, text in enumerate(texts):
+        ids = [*own.encode(text or "", add_special_tokens=False).ids, 1]
+        for piece, at in enumerate(range(0, len(ids), 32)):
+            part = np.array(ids[at : at + 32], "<u4").tobytes()
+            want.append((k, piece, at, len(part) // 4, zlib.crc32(part)))
+    assert got == want
+
+
+def fewest_bins(sizes, capacity):
+    """The least number of bins, by trying every way."""
+    def go(rest, bins, best):
+        if len(bins) >= best:
+            return best
+        if not rest:
+            return len(bins)
+        for k in range(len(bins)):
+            if bins[k] + rest[0] <= capacity and bins[k] not in bins[:k]:
+                best = min(best, go(rest[1:], [*bins[:k], bins[k] + rest[0], *bins[k + 1 :]], best))
+        return min(best, go(rest[1:], [*bins, rest[0]], best))
+
+    return go(sorted(sizes, reverse=True), [], len(sizes) + 1)
+
+
+def test_plan_against_the_optimum():
+    rng = random.Random(12)
+    over = 0
+    for _ in range(300):
+        sizes = [rng.randint(1, 20) for _ in range(rng.randint(1, 9))]
+        made = packing.plan(dict(collections.Counter(sizes)), 20)
+        packed = collections.Counter(n for pattern, times in made for n in pattern for _ in range(times))
+        assert packed == collections.Counter(sizes) and all(sum(p) <= 20 for p, _ in made)
+        bins = sum(t for _, t in made)
+        best = fewest_bins(sizes, 20)
+        assert bins <= best + 1
+        over += bins - best
+    assert over <= 9
+
+
+def test_sums_find_every_complement():
+    rng = random.Random(6)
+    for _ in range(300):
+        left = {rng.randint(1, 30): rng.randint(1, 2) for _ in range(rng.randint(1, 8))}
+        pool = [n for n, c in left.items() for _ in range(c)]
+        sums, total, most = packing.Sums(dict(left)), rng.randint(2, 60), rng.randint(1, 30)
+        for size, found in ((2, sums.pair(total, most)), (3, sums.triple(total, most))):
+            ways = [c for c in itertools.combinations(pool, size) if sum(c) == total and max(c) <= most]
+            assert bool(found) == bool(ways) and (not found or (sum(found) == total and max(found) <= most and not collections.Counter(found) - collections.Counter(pool)))
+
+
+def test_memo_keeps_to_its_bytes():
+    memo = common.Memo(10_000)
+    for k in range(300):
+        memo.turn()
+        new = memo.missing({f"{k}", f"{k // 2}", "always", "x" * 900 + str(k)})
+        memo.add({x: b"v" * len(x) for x in new})
+        assert all(memo.young[x] == b"v" * len(x) for x in (f"{k}", f"{k // 2}", "always"))
+        held = sum(2 * len(x) + memo.ENTRY for d in (memo.young, memo.old) for x in d)
+        assert held <= 10_000 + 2 * 2 * 3000
+
+
 def test_plan_uses_complements():
     made = packing.plan({10: 2, 6: 2, 4: 2, 3: 1, 2: 1, 1: 1}, 10)
     assert sum(t for _, t in made) == 5 and all(sum(p) <= 10 for p, _ in made)
@@ -262,7 +432,7 @@ def test_vectors(spark):
     x[60:65] = x[1]
     rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(200, None), (201, [0.0] * 16), (202, [float("nan")] * 16), (203, []), (204, [1.0, 2.0])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int")
-    got = {r.vec_id: r for r in embedding.near_vectors(df, margin=1.0).collect()}
+    got = {r.vec_id: r for r in embedding.near_vectors(df).collect()}
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = (unit @ unit.T) >= 0.95
     assert all(got[i].n_links == near[i].sum() - 1 for i in range(len(x)))
@@ -283,6 +453,38 @@ def test_vectors_as_registered(spark):
     assert want.sum() > 1000 and [got[i] for i in range(len(x))] == want.tolist()
 
 
+@pytest.mark.parametrize("size", [4, 8, 16, 64])
+def test_vectors_at_the_limit(spark, size, monkeypatch):
+    """Links and components by brute force: chains of pairs just above, at and below 0.95, in many blocks."""
+    monkeypatch.setattr(embedding, "BLOCK", 100)
+    rng = np.random.default_rng(size)
+    heads = rng.normal(size=(60, size))
+    x = [rng.normal(size=(400, size)), heads]
+    for cosine in (0.94999, 0.95001, 0.951, 0.97):
+        side = rng.normal(size=heads.shape)
+        unit = heads / np.linalg.norm(heads, axis=1, keepdims=True)
+        side -= (side * unit).sum(axis=1, keepdims=True) * unit
+        side /= np.linalg.norm(side, axis=1, keepdims=True)
+        x.append((cosine * unit + np.sqrt(1 - cosine**2) * side) * rng.uniform(0.1, 9, size=(60, 1)))
+        heads = x[-1]
+    x = np.concatenate(x)
+    # Exactly 0.95 in double precision: (19, sqrt(39)) against (1, 0), a tie that links.
+    tie = np.zeros((2, size))
+    tie[0, 0], tie[1, :3] = 1, (38, 12, np.sqrt(12.0))
+    assert tie[1] @ tie[1] == 1600
+    x = np.concatenate([x, 50 * tie, x[:7]])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    near[-9, -8] = near[-8, -9] = True
+    label = np.arange(len(x))
+    while (new := np.where(near, label[None, :], len(x)).min(axis=1)).tolist() != label.tolist():
+        label = new
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: r for r in embedding.near_vectors(df).collect()}
+    assert [got[i].n_links for i in range(len(x))] == (near.sum(axis=1) - 1).tolist()
+    assert [got[i].component_id for i in range(len(x))] == label.tolist() and all(got[i].kept == (label[i] == i) for i in range(len(x)))
+
+
 def test_warc(spark):
     page = "<p>" + "long " * 40
     rows = [(3, "u3", page), (1, "u1", page), (2, None, "short"), (4, "u4", "short"), (5, "u5", None), (1, "u1", page), (6, "a\nb", "é" * 60)]
