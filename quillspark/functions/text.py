@@ -44,9 +44,9 @@ def tokenize(x: str | Column, stopwords: bool = True) -> Column:
     words = F.regexp_extract_all(F.lower(F.coalesce(col(x), F.lit(""))), F.lit(r"(?U)\b(\w+)\b"), 1)
     if not stopwords:
         return words
-    # A pruned list: entries with an apostrophe cannot be tokens.
-    stop = F.array(*(F.lit(w) for w in STOPWORDS if "'" not in w))
-    return F.filter(words, lambda w: (F.char_length(w) > 1) & ~F.array_contains(stop, w))
+    # A pruned list (entries with an apostrophe cannot be tokens), which becomes a hash set.
+    stop = [w for w in STOPWORDS if "'" not in w]
+    return F.filter(words, lambda w: (F.char_length(w) > 1) & ~w.isin(stop))
 
 
 def word_count(x: str | Column) -> Column:

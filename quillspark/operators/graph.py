@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import none_if_empty, present, synthetic_id
 from quillspark.operators.components import connected_components
+from quillspark.operators.normalize import ID_PREFIX
 
 AUTHORED, AFFILIATED, ABOUT, PUBLISHED = "AUTHORED", "AFFILIATED_WITH", "ABOUT", "PUBLISHED_IN"
 EDGE_KEY = ["source_type", "source_id", "target_type", "target_id", "rel_type"]
@@ -38,6 +39,7 @@ def build_graph(works: DataFrame, ordinal: str = "ordinal") -> dict[str, DataFra
     work that mentions it.
     """
     o = F.col(ordinal)
+    address = lambda c: F.when(present(c), F.concat(F.lit(ID_PREFIX), c)).alias("openalex_url")
     papers = works.where(present("id"))
     paper = first_by(papers.select(
         "id", F.coalesce(none_if_empty("title"), F.lit("Untitled")).alias("title"), "doi", "publication_year", "publication_date",
@@ -47,17 +49,17 @@ def build_graph(works: DataFrame, ordinal: str = "ordinal") -> dict[str, DataFra
     authors = papers.select("id", o.alias("o"), F.posexplode("authors").alias("k", "a")).select(
         F.col("id").alias("paper"), F.struct("o", "k").alias("o"),
         F.when(present("a.id"), F.col("a.id")).otherwise(synthetic_id("AUTH", F.coalesce(none_if_empty("a.name"), F.lit("Unknown Author")))).alias("id"),
-        F.coalesce(none_if_empty("a.name"), F.lit("Unknown Author")).alias("display_name"), F.lit(None).cast("string").alias("orcid"),
+        F.coalesce(none_if_empty("a.name"), F.lit("Unknown Author")).alias("display_name"), F.lit(None).cast("string").alias("orcid"), address("a.id"),
     )
     places = papers.select("id", o.alias("o"), F.posexplode("institutions").alias("k", "i")).select(
         F.col("id").alias("paper"), F.struct("o", "k").alias("o"),
         F.when(present("i.id"), F.col("i.id")).otherwise(synthetic_id("INST", F.coalesce(none_if_empty("i.name"), F.lit("Unknown Institution")))).alias("id"),
         F.coalesce(none_if_empty("i.name"), F.lit("Unknown Institution")).alias("display_name"), F.col("i.ror").alias("ror"),
-        F.col("i.country_code").alias("country_code"), F.lit(None).cast("string").alias("type"),
+        F.col("i.country_code").alias("country_code"), F.lit(None).cast("string").alias("type"), address("i.id"),
     )
     main = lambda c: F.when(F.col("t.name") == F.col("primary_topic"), F.col(f"primary_topic_{c}")).alias(c)
     topics = papers.select("id", o.alias("o"), "primary_topic", "primary_topic_subfield", "primary_topic_field", "primary_topic_domain", F.posexplode("topics").alias("k", "t")).where(present("t.id") & present("t.name")).select(
-        F.col("id").alias("paper"), F.struct("o", "k").alias("o"), F.col("t.id").alias("id"), F.col("t.name").alias("display_name"), main("subfield"), main("field"), main("domain"), F.col("t.score").alias("score"),
+        F.col("id").alias("paper"), F.struct("o", "k").alias("o"), F.col("t.id").alias("id"), F.col("t.name").alias("display_name"), main("subfield"), main("field"), main("domain"), address("t.id"), F.col("t.score").alias("score"),
     )
     years = papers.where(F.coalesce(F.col("publication_year") != 0, F.lit(False)))
     drawn = (
@@ -85,6 +87,18 @@ def resolution_audit(mentions: DataFrame) -> DataFrame:
     return variants.crossJoin(homonyms).crossJoin(missing)  # one row each
 
 
+def variants(mentions: DataFrame, top: int = 5) -> DataFrame:
+    """Samples of ids with several names, most names first: ``id, n, names``."""
+    named = mentions.where(present("id") & present("name")).groupBy("id").agg(F.sort_array(F.collect_set("name")).alias("names"))
+    return named.select("id", F.size("names").alias("n"), "names").where("n > 1").orderBy(F.desc("n"), "id").limit(top)
+
+
+def homonyms(mentions: DataFrame, top: int = 5) -> DataFrame:
+    """Samples of names, letter case aside, that several ids share, most ids first: ``name, n, ids``."""
+    found = mentions.where(present("id") & present("name")).groupBy(F.lower("name").alias("name")).agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    return found.select("name", F.size("ids").alias("n"), "ids").where("n > 1").orderBy(F.desc("n"), "name").limit(top)
+
+
 def ends(edges: DataFrame) -> DataFrame:
     """Both ends of every edge as ``node_type, node_id, rel_type``; a node's key is its type and id."""
     both = F.array(F.struct(F.col("source_type").alias("node_type"), F.col("source_id").alias("node_id")), F.struct(F.col("target_type").alias("node_type"), F.col("target_id").alias("node_id")))
@@ -129,6 +143,9 @@ def integrity(nodes: DataFrame, papers: DataFrame, edges: DataFrame) -> DataFram
     for name, df in rows:
         row = df.select(F.lit(name).alias("check"), F.col("n").alias("violations"))
         out = row if out is None else out.unionByName(row)
+    dated = edges.where(F.col("rel_type") == PUBLISHED).select(F.col("source_id").alias("paper_id"))
+    undated = papers.select("paper_id").join(dated, "paper_id", "left_anti").agg(F.count("*").alias("violations"))
+    out = out.unionByName(undated.select(F.lit("papers_without_year").alias("check"), "violations"))
     counts = lacks.agg(*(F.count_if(F.col(f"n_{x}") == 0).alias(x) for x in ("researchers", "institutions", "topics")))
     pairs = F.array(*(F.struct(F.lit(f"papers_without_{x}").alias("check"), F.col(x).alias("violations")) for x in ("researchers", "institutions", "topics")))
     return out.unionByName(counts.select(F.explode(pairs).alias("x")).select("x.*"))
@@ -202,17 +219,23 @@ def neighbourhood(papers: DataFrame, edges: DataFrame) -> DataFrame:
     return papers.select("paper_id").distinct().join(found, "paper_id", "left").select("paper_id", *(F.coalesce(c, empty).alias(c) for c in ("topics", "authors", "institutions")))
 
 
-def upsert_nodes(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
-    """MERGE: incoming non-null properties overwrite, others stay."""
+def upsert_nodes(existing: DataFrame, incoming: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """MERGE: incoming non-null properties overwrite, others stay.
+
+    Of incoming rows with one key the last by ``order`` wins, property by property; without ``order``
+    they must agree, and the greatest value of each property is taken.
+    """
     rest = [c for c in existing.columns if c not in key]
-    new = incoming.dropDuplicates(key)
+    given = [c for c in rest if c in incoming.columns]
+    last = [(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))) if order else F.max(c)).alias(c) for c in given]
+    new = incoming.groupBy(*key).agg(*last) if last else incoming.select(*key).distinct()
     old = existing.select(*key, *(F.col(c).alias(f"_old_{c}") for c in rest))
-    return old.join(new, key, "full").select(*key, *(F.coalesce(F.col(c) if c in new.columns else F.lit(None), F.col(f"_old_{c}")).alias(c) for c in rest))
+    return old.join(new, key, "full").select(*key, *(F.coalesce(F.col(c) if c in given else F.lit(None), F.col(f"_old_{c}")).alias(c) for c in rest))
 
 
-def upsert_edges(existing: DataFrame, incoming: DataFrame, nodes: DataFrame) -> DataFrame:
+def upsert_edges(existing: DataFrame, incoming: DataFrame, nodes: DataFrame, order: str | None = None) -> DataFrame:
     """MERGE of edges; one whose ends do not both exist is dropped."""
     for side in ("source", "target"):
         known = nodes.select(F.col("node_type").alias(f"{side}_type"), F.col("node_id").alias(f"{side}_id"))
         incoming = incoming.join(known, [f"{side}_type", f"{side}_id"], "left_semi")
-    return upsert_nodes(existing, incoming, EDGE_KEY)
+    return upsert_nodes(existing, incoming, EDGE_KEY, order)

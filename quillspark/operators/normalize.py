@@ -59,7 +59,7 @@ def normalize_works(raw: DataFrame, home: str = HOME) -> DataFrame:
         F.size("_authors").alias("authors_count"), F.col("_authors").alias("authors"),
         F.size("_institutions").alias("institutions_count"), F.col("_institutions").alias("institutions"),
         F.exists("_all", lambda i: i["country_code"].eqNullSafe(home)).alias("has_ke_institution"),
-        F.exists("_all", lambda i: present(i["country_code"]) & (i["country_code"] != home)).alias("has_international_institution"),
+        F.exists("_all", lambda i: F.coalesce(i["country_code"] != home, F.lit(False))).alias("has_international_institution"),
         F.col("primary_topic.display_name").alias("primary_topic"),
         F.col("primary_topic.subfield.display_name").alias("primary_topic_subfield"),
         F.col("primary_topic.field.display_name").alias("primary_topic_field"),
@@ -76,7 +76,7 @@ def search_text(title, topics: Column, abstract) -> Column:
 
 
 def retrieval_documents(works: DataFrame) -> DataFrame:
-    """The search corpus; of rows with one id the first by ``raw_id`` and text stays."""
+    """The search corpus, one row a work; works that repeat an id all stay."""
     return works.select(
         F.col("id").alias("paper_id"),
         F.coalesce(none_if_empty("title"), F.lit("Untitled")).alias("title"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import present, strip
@@ -102,7 +102,19 @@ def institution_counts(affiliations: DataFrame, home: str) -> DataFrame:
     return rows.groupBy("x.kind", "x.name").agg(F.count("*").alias("n"), F.countDistinct("paper_id").alias("n_papers"))
 
 
-def missing_ids(authors: DataFrame, top: int = 5) -> DataFrame:
+def missing_id_names(authors: DataFrame, top: int = 5) -> DataFrame:
+    """The most frequent names among the instances without an id: ``name, n``."""
+    gone = authors.where(~present("author_id") & present("name"))
+    return gone.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(top)
+
+
+def duplicate_samples(df: DataFrame, keys: dict[str, Column], top: int = 5) -> DataFrame:
+    """The most frequent duplicates of each key expression: ``key, value, n``."""
+    by = Window.partitionBy("key").orderBy(F.desc("n"), "value")
+    return duplicates(df, keys).withColumn("place", F.row_number().over(by)).where(F.col("place") <= top).drop("place")
+
+
+def missing_ids(authors: DataFrame) -> DataFrame:
     """Census of ``authors(author_id, name, orcid)`` instances that have no id."""
     gone = ~present("author_id")
     return authors.agg(

@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from quillspark.plans import evaluation_queries, graph_queries, profile_queries, search_queries  # noqa: E402,F401
+from quillspark.plans import evaluation_queries, graph_queries, profile_queries, search_queries, work_queries  # noqa: E402,F401
