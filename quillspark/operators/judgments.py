@@ -33,10 +33,10 @@ def apply_rules(items: DataFrame, rules: DataFrame, default: int = 0) -> DataFra
     return out.withColumns({"relevance": F.coalesce("hit.label", F.lit(default)), "notes": F.coalesce("hit.note", F.lit("no rule"))}).drop("hit")
 
 
-def flag_uncertain(items: DataFrame) -> DataFrame:
-    """Mark items to be audited: a missing or brief abstract, else a label of 1."""
+def flag_uncertain(items: DataFrame, reasons: tuple[str, str] = ("no_text", "middle_label")) -> DataFrame:
+    """Mark items to be audited with the code of the reason: a missing or brief abstract, else a label of 1."""
     brief = F.char_length(F.coalesce(strip("abstract"), F.lit(""))) < BRIEF
-    reason = F.when(brief, "missing or very brief abstract").when(F.col("relevance") == 1, "borderline, partially relevant")
+    reason = F.when(brief, reasons[0]).when(F.col("relevance") == 1, reasons[1])
     return items.withColumn("audit_reason", reason).withColumn("notes", F.when(reason.isNotNull(), F.concat(F.lit("[AUDIT_FLAG: "), reason, F.lit("] "), F.coalesce("notes", F.lit("")))).otherwise(F.col("notes")))
 
 

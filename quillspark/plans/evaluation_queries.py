@@ -162,22 +162,43 @@ def masked_batches(spark, sf):
     return J.batch_stats(items(spark, sf))
 
 
-@query("judgment_audit", f"WITH {_ITEMS} SELECT count(*) AS expected_pairs, count(relevance) AS recorded, count(*) - count(relevance) AS missing, 0 AS unexpected, 0 AS duplicates, 0 AS invalid, count(*) = count(relevance) AS is_ready FROM items")
+#: What was asked for, and what came back: lacking, unasked, repeated and invalid labels among it.
+_JUDGED = """expected AS (SELECT lang AS query_id, doc_id AS paper_id FROM documents WHERE doc_id % 10 <> 3),
+judged AS (
+  SELECT query_id, paper_id, CASE WHEN paper_id % 31 = 0 THEN 5 ELSE relevance END AS relevance FROM items WHERE paper_id % 10 <> 7
+  UNION ALL SELECT query_id, paper_id, 1 FROM items WHERE paper_id % 20 = 0),
+valid AS (SELECT DISTINCT query_id, paper_id FROM judged WHERE relevance IS NOT NULL)"""
+
+
+def _expected(spark, sf):
+    return T.read(spark, sf, "documents").where("doc_id % 10 <> 3").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("paper_id"))
+
+
+def _judged(spark, sf):
+    rows = items(spark, sf).select("query_id", "paper_id", "relevance")
+    first = rows.where("paper_id % 10 <> 7").withColumn("relevance", F.when(F.col("paper_id") % 31 == 0, 5).otherwise(F.col("relevance")))
+    return first.unionByName(rows.where("paper_id % 20 = 0").withColumn("relevance", F.lit(1)))
+
+
+@query("judgment_audit", f"""WITH {_ITEMS}, {_JUDGED} SELECT (SELECT count(*) FROM expected) AS expected_pairs, (SELECT count(*) FROM valid) AS recorded,
+(SELECT count(*) FROM (SELECT * FROM expected EXCEPT SELECT * FROM valid)) AS missing, (SELECT count(*) FROM (SELECT * FROM valid EXCEPT SELECT * FROM expected)) AS unexpected,
+(SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) - 1 AS n FROM judged GROUP BY query_id, paper_id HAVING count(relevance) > 0)) AS duplicates,
+(SELECT count(*) FROM judged WHERE relevance NOT IN (0, 1, 2)) AS invalid, false AS is_ready""")
 def judgment_audit(spark, sf):
-    rows = items(spark, sf)
-    return J.validate(rows, rows)
+    return J.validate(_expected(spark, sf), _judged(spark, sf))
 
 
-@query("judgment_progress", f"WITH {_ITEMS} SELECT query_id, count(*) AS n_expected, count(relevance) AS n_judged, count(*) = count(relevance) AS complete FROM items GROUP BY 1")
+@query("judgment_progress", f"WITH {_ITEMS}, {_JUDGED} SELECT query_id, count(*) AS n_expected, count(v.paper_id) AS n_judged, count(*) = count(v.paper_id) AS complete FROM expected LEFT JOIN valid v USING (query_id, paper_id) GROUP BY 1")
 def judgment_progress(spark, sf):
-    rows = items(spark, sf)
-    return J.query_progress(rows, rows)
+    return J.query_progress(_expected(spark, sf), _judged(spark, sf))
 
 
-@query("qrels_compile", f"WITH {_ITEMS} SELECT query_id, paper_id, relevance FROM items WHERE relevance IS NOT NULL")
+@query("qrels_compile", f"WITH {_ITEMS} SELECT query_id, paper_id, CASE WHEN paper_id % 4 = 0 THEN (relevance + paper_id // 4) % 3 ELSE relevance END AS relevance FROM items WHERE relevance IS NOT NULL")
 def qrels_compile(spark, sf):
-    done = items(spark, sf).where("relevance is not null")
-    return J.compile_qrels(done, done)
+    """Every fourth judgment is made anew; the last one of a pair counts."""
+    done = items(spark, sf).where("relevance is not null").select("query_id", "paper_id", "relevance", F.lit(1).alias("turn"))
+    again = done.where("paper_id % 4 = 0").withColumn("relevance", ((F.col("relevance") + F.floor(F.col("paper_id") / 4)) % 3).cast("int")).withColumn("turn", F.lit(2))
+    return J.compile_qrels(done, again.unionByName(done), "turn")
 
 
 @query("label_histogram", f"WITH {_ITEMS} SELECT relevance, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 2) AS pct FROM items WHERE relevance IS NOT NULL GROUP BY 1")
@@ -195,7 +216,7 @@ _RULE = """CASE WHEN lang = 'en' AND (t LIKE '%license%' OR t LIKE '%licensed%')
 WHEN lang = 'en' AND t LIKE '%the %' AND t LIKE '%and %' THEN 1 WHEN lang = 'fr' AND t LIKE '%eau%' AND (t LIKE '%que%' OR t LIKE '%qui%') THEN 1 WHEN lang = 'de' AND t LIKE '%und%' THEN 1 ELSE 0 END"""
 
 
-@query("rule_labels", f"SELECT doc_id AS paper_id, {_RULE} AS relevance, CASE WHEN length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) < 50 THEN 'missing or very brief abstract' WHEN {_RULE} = 1 THEN 'borderline, partially relevant' END AS audit_reason FROM (SELECT *, lower(source || ' ' || text) AS t FROM documents)")
+@query("rule_labels", f"SELECT doc_id AS paper_id, {_RULE} AS relevance, CASE WHEN length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) < 50 THEN 'no_text' WHEN {_RULE} = 1 THEN 'middle_label' END AS audit_reason FROM (SELECT *, lower(source || ' ' || text) AS t FROM documents)")
 def rule_labels(spark, sf):
     rules = spark.createDataFrame(RULES, "query_id string, priority int, all_of array<array<string>>, label int, note string")
     return J.flag_uncertain(J.apply_rules(items(spark, sf), rules)).select("paper_id", "relevance", "audit_reason")

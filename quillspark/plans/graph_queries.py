@@ -74,9 +74,11 @@ def outlier_papers(spark, sf):
     return G.paper_degrees(T.papers(spark, sf), T.edges(spark, sf)).orderBy(F.desc("n_researchers"), "paper_id").limit(3)
 
 
-@query("isolates", f"WITH {EDGES} SELECT node_type, node_id FROM degrees WHERE degree = 0")
+@query("isolates", f"WITH {EDGES} SELECT node_type, node_id FROM nodes n WHERE node_type IN ('Paper', 'Institution') AND NOT EXISTS (SELECT 1 FROM edges e WHERE rel_type = 'AFFILIATED_WITH' AND CAST(target_id AS BIGINT) % 7 < 3 AND ((n.node_type = 'Paper' AND e.source_id = n.node_id) OR (n.node_type = 'Institution' AND e.target_id = n.node_id)))")
 def isolates(spark, sf):
-    return G.isolates(T.nodes(spark, sf), T.edges(spark, sf))
+    """Papers and institutions that no edge to three sevenths of the institutions reaches."""
+    nodes, edges = G.subgraph(T.nodes(spark, sf), T.edges(spark, sf), ["Paper", "Institution"], [G.AFFILIATED])
+    return G.isolates(nodes, edges.where(F.col("target_id").cast("long") % 7 < 3))
 
 
 @query("isolated_customers", "SELECT 'Researcher' AS node_type, CAST(c_custkey AS VARCHAR) AS node_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -88,6 +90,7 @@ def isolated_customers(spark, sf):
 SELECT 'duplicate_node_ids' AS "check", (SELECT count(*) FROM (SELECT 1 FROM nodes GROUP BY node_type, node_id HAVING count(*) > 1)) AS violations
 UNION ALL SELECT 'dangling_edge_ends', (SELECT count(*) FROM ends e WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.node_type = e.node_type AND n.node_id = e.node_id))
 UNION ALL SELECT 'duplicate_edges', (SELECT count(*) FROM (SELECT 1 FROM edges GROUP BY source_type, source_id, target_type, target_id, rel_type HAVING count(*) > 1))
+UNION ALL SELECT 'papers_without_year', (SELECT count(*) FROM nodes n WHERE node_type = 'Paper' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.rel_type = 'PUBLISHED_IN' AND e.source_id = n.node_id))
 UNION ALL SELECT 'papers_without_researchers', (SELECT count(*) FROM paper_degrees WHERE n_researchers = 0)
 UNION ALL SELECT 'papers_without_institutions', (SELECT count(*) FROM paper_degrees WHERE n_institutions = 0)
 UNION ALL SELECT 'papers_without_topics', (SELECT count(*) FROM paper_degrees WHERE n_topics = 0)""")
@@ -199,10 +202,24 @@ def name_collisions(spark, sf):
     return P.name_collisions(T.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
 
 
-@query("graph_upsert_edges", f"WITH {EDGES} SELECT rel_type AS kind, count(*) AS n FROM edges WHERE target_type <> 'Topic' OR target_id <> 'gone' GROUP BY 1")
+@query("graph_upsert_edges", """WITH a AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS source_id, p_brand AS target_id FROM lineitem JOIN part ON l_partkey = p_partkey),
+d AS (SELECT CAST(l_orderkey AS VARCHAR) AS source_id, p_brand AS target_id, arg_max(l_discount, (l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS score FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 2 = 0 GROUP BY 1, 2)
+SELECT a.source_id, a.target_id, CASE WHEN d.score IS NOT NULL THEN d.score WHEN CAST(a.source_id AS BIGINT) % 5 = 0 THEN -1.0 END AS score FROM a LEFT JOIN d USING (source_id, target_id)""")
 def graph_upsert_edges(spark, sf):
-    """Merging all edges into themselves, with a dangling one for each paper, changes nothing."""
-    edges = T.edges(spark, sf)
-    dangling = T.papers(spark, sf).select(*G.edge("Paper", F.col("paper_id"), "Topic", F.lit("gone"), G.ABOUT))
-    out = G.upsert_edges(edges, edges.unionByName(dangling), T.nodes(spark, sf))
-    return out.groupBy(F.col("rel_type").alias("kind")).agg(F.count("*").alias("n"))
+    """Topic edges get the score of the last line that draws them; dangling ones are left out."""
+    about = T.edges(spark, sf).where(F.col("rel_type") == G.ABOUT).withColumn("score", F.when(F.col("source_id").cast("long") % 5 == 0, -1.0))
+    lines = T.read(spark, sf, "lineitem").join(T.read(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).where("l_orderkey % 2 = 0")
+    turn = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("turn")
+    new = lines.select(*G.edge("Paper", F.col("l_orderkey"), "Topic", F.col("p_brand"), G.ABOUT, F.col("l_discount")), turn)
+    new = new.unionByName(lines.select(*G.edge("Paper", F.col("l_orderkey"), "Topic", F.lit("gone"), G.ABOUT, F.col("l_discount")), turn))
+    return G.upsert_edges(about, new, T.nodes(spark, sf), "turn").select("source_id", "target_id", "score")
+
+
+@query("entity_variants", "SELECT id, n, names FROM (SELECT p_brand AS id, count(DISTINCT p_name) AS n, string_agg(DISTINCT p_name, '|' ORDER BY p_name) AS names FROM part GROUP BY 1) WHERE n > 1 ORDER BY n DESC, id LIMIT 5")
+def entity_variants(spark, sf):
+    return G.variants(T.read(spark, sf, "part").select(F.col("p_brand").alias("id"), F.col("p_name").alias("name"))).withColumn("names", F.array_join("names", "|"))
+
+
+@query("entity_homonyms", "SELECT lower(p_name) AS name, count(DISTINCT p_brand) AS n, string_agg(DISTINCT p_brand, '|' ORDER BY p_brand) AS ids FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1 ORDER BY n DESC, name LIMIT 5")
+def entity_homonyms(spark, sf):
+    return G.homonyms(T.read(spark, sf, "part").select(F.col("p_brand").alias("id"), F.col("p_name").alias("name"))).withColumn("ids", F.array_join("ids", "|"))

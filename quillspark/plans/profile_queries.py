@@ -120,3 +120,14 @@ def event_properties(spark, sf):
     """Nested JSON by an explicit schema."""
     props = F.from_json("props", "k bigint")
     return T.read(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(props["k"]).alias("total"))
+
+
+@query("missing_id_names", "SELECT o_orderpriority AS name, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1 ORDER BY n DESC, name LIMIT 5")
+def missing_id_names(spark, sf):
+    rows = T.read(spark, sf, "orders").select(F.when(F.col("o_orderstatus") != "F", F.col("o_orderkey").cast("string")).alias("author_id"), F.col("o_orderpriority").alias("name"))
+    return P.missing_id_names(rows)
+
+
+@query("duplicate_samples", "SELECT * FROM (SELECT 'name' AS key, p_name AS value, count(*) AS n FROM part GROUP BY 2 HAVING count(*) > 1 ORDER BY n DESC, value LIMIT 5) UNION ALL SELECT * FROM (SELECT 'brand', p_brand, count(*) AS n FROM part GROUP BY 2 HAVING count(*) > 1 ORDER BY n DESC, p_brand LIMIT 5)")
+def duplicate_samples(spark, sf):
+    return P.duplicate_samples(T.read(spark, sf, "part"), {"name": F.col("p_name"), "brand": F.col("p_brand")})
