@@ -23,6 +23,20 @@ def pool(results: DataFrame, top_k: int = 10) -> DataFrame:
     return rows.select("query_id", "paper_id", F.col("found.system").alias("retrieved_by"), F.map_from_entries("found").alias("source_ranks"))
 
 
+def pool_documents(pooled: DataFrame, results: DataFrame, documents: DataFrame) -> DataFrame:
+    """The pool with ``title`` and ``abstract`` of ``documents(paper_id, title, abstract)``; a paper that the
+    corpus lacks keeps the title it was found with in ``results(query_id, paper_id, title)``."""
+    found = results.groupBy("query_id", "paper_id").agg(F.min("title").alias("_found"))
+    rows = pooled.join(found, ["query_id", "paper_id"], "left").join(documents.select("paper_id", "title", "abstract", F.lit(True).alias("_known")), "paper_id", "left")
+    return rows.withColumn("title", F.when(F.col("_known"), F.col("title")).otherwise(F.col("_found"))).drop("_found", "_known")
+
+
+def latency_summary(readings: DataFrame) -> DataFrame:
+    """``query, n, mean_ms, median_ms, p95_ms`` of ``readings(query, ms)``."""
+    ms = lambda p: F.round(F.percentile("ms", p), 2)
+    return readings.groupBy("query").agg(F.count("*").alias("n"), F.round(F.avg("ms"), 2).alias("mean_ms"), ms(0.5).alias("median_ms"), ms(0.95).alias("p95_ms"))
+
+
 def pool_summary(pooled: DataFrame, queries: DataFrame) -> DataFrame:
     """Pool sizes by domain."""
     sizes = pooled.groupBy("query_id").agg(F.count("*").alias("n"))

@@ -3,20 +3,25 @@
 
 from __future__ import annotations
 
+import logging
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import col, present, tokenize
+from quillspark.functions.text import col, present, strip, tokenize
 from quillspark.functions.vectors import dot, unit
 from quillspark.runtime import stash
+from quillspark.schemas import EMBEDDING_META
+from quillspark.sources.files import exists, overwrite
 
+#: Saturation, length normalisation and the floor of negative weights of terms.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 CANDIDATES, ALPHA = 20, 0.7
 #: Weights of the kinds of shared neighbours.
 WEIGHTS = {"topic": 0.5, "author": 0.25, "institution": 0.25}
 KINDS = ("topic", "author", "institution")
+#: Fixed value: the instruction before queries.
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 
 
@@ -64,14 +69,21 @@ def ranked(scores: DataFrame, top_k: int, digits: int | None = 4) -> DataFrame:
 
 
 def bm25_search(index: Bm25Index, queries: DataFrame, top_k: int = 10, **options) -> DataFrame:
-    """Adds ``matched_query_tokens``: all tokens of the query."""
+    """Adds ``matched_query_tokens``: all tokens of the query. Blank queries find nothing."""
     if dict(queries.dtypes)["query_text"] != "string":
         raise ValueError("query_text must be text")
+    queries = non_blank(queries)
     hits = ranked(bm25_scores(index, queries, **options), top_k)
     tokens = queries.select("query_id", tokenize("query_text").alias("matched_query_tokens"))
     return hits.join(tokens, "query_id").select("query_id", "rank", "paper_id", "score", "matched_query_tokens")
 
 
+def total_hits(queries: DataFrame, results: DataFrame) -> DataFrame:
+    """``query_id, total_hits``: results returned for each query, 0 for those that found nothing."""
+    found = results.groupBy("query_id").agg(F.count("*").alias("total_hits"))
+    return queries.select("query_id").join(found, "query_id", "left").fillna(0, ["total_hits"])
+
+
 def cosine_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """All scores of ``queries(query_id, query_vector)`` against ``vectors(paper_id, embedding)``.
 
@@ -104,7 +116,9 @@ def overlaps(candidates: DataFrame, entities: DataFrame) -> DataFrame:
     A candidate's raw overlap is, over its entities, how many other candidates of the query have
     them: one count a query and entity instead of all candidate pairs.
     """
-    mine = candidates.select("query_id", "paper_id").join(entities.select("paper_id", "kind", "entity_id").distinct(), "paper_id")
+    wanted = candidates.select("paper_id").distinct()
+    near = entities.select("paper_id", "kind", "entity_id").join(wanted, "paper_id", "left_semi").distinct()
+    mine = stash(candidates.select("query_id", "paper_id").join(near, "paper_id"), "candidate-entities").df
     shared = mine.groupBy("query_id", "kind", "entity_id").agg((F.count("*") - 1).alias("others")).where("others > 0")
     sums = mine.join(shared, ["query_id", "kind", "entity_id"]).groupBy("query_id", "paper_id").agg(*(F.sum(F.when(F.col("kind") == k, F.col("others"))).alias(f"raw_{k}") for k in KINDS))
     rows = candidates.select("query_id", "paper_id").join(sums, ["query_id", "paper_id"], "left").fillna(0, [f"raw_{k}" for k in KINDS])
@@ -141,6 +155,29 @@ def rerank(candidates: DataFrame, entities: DataFrame | None, settings: DataFram
     return rows.withColumns({"rank_change": F.col("semantic_rank") - F.col("rank"), "score": F.col("hybrid_score"), "fallback_used": F.lit(entities is None)})
 
 
+def reachable(load) -> DataFrame | None:
+    """The entities that ``load()`` gives, or none if the graph fails: then ``rerank`` falls back."""
+    try:
+        found = load()
+        found.limit(1).collect()
+        return found
+    except Exception as problem:  # whatever the backend raises
+        logging.getLogger(__name__).warning("no graph: %s", problem)
+        return None
+
+
+def details(reranked: DataFrame, weights: dict[str, float] = WEIGHTS, candidate_k: int = CANDIDATES, graph_available: bool = True, sem_latency_ms: float | None = None, graph_latency_ms: float | None = None) -> DataFrame:
+    """``query_id, rank, paper_id, score`` and ``metadata``, the nineteen fields that explain a reranked result."""
+    weights = check_weights(weights)
+    fields = [
+        *("semantic_score", "graph_score", "hybrid_score", "semantic_rank"), F.col("rank").alias("hybrid_rank"), "rank_change",
+        *(F.col(f"o_{k}").alias(f"{k}_overlap") for k in KINDS), *(F.col(f"raw_{k}").alias(f"raw_{k}_overlap") for k in KINDS), "alpha",
+        F.struct(*(F.lit(weights[k]).alias(k) for k in KINDS)).alias("graph_weights"), F.lit(candidate_k).alias("candidate_k"), F.lit(graph_available).alias("graph_available"), "fallback_used",
+        F.lit(sem_latency_ms).cast("double").alias("sem_latency_ms"), F.lit(graph_latency_ms).cast("double").alias("graph_latency_ms"),
+    ]
+    return reranked.select("query_id", "rank", "paper_id", "score", F.struct(*fields).alias("metadata"))
+
+
 def entities_of(edges: DataFrame, drop_synthetic: bool = False) -> DataFrame:
     """``paper_id, kind, entity_id`` of the typed edges."""
     wrote = F.col("rel_type") == "AUTHORED"
@@ -181,5 +218,23 @@ def embeddings_valid(stored: DataFrame, meta: DataFrame, docs: DataFrame, model_
     return not (extra or lacking or wrong) and row["corpus_size"] == docs.count()
 
 
+def load_or_encode(docs: DataFrame, encoder, path: str, model_name: str, dimension: int) -> DataFrame:
+    """Stored vectors of ``docs(paper_id, search_text)``, or new ones where the store is missing or stale.
+
+    ``path`` holds ``vectors`` and ``meta``; the meta table is written last, so a store whose writing
+    broke off is not valid.
+    """
+    spark = docs.sparkSession
+    places = f"{path}/vectors", f"{path}/meta"
+    if all(exists(spark, x) for x in places):
+        stored, meta = (spark.read.parquet(x) for x in places)
+        if embeddings_valid(stored, meta, docs.select("paper_id"), model_name, dimension):
+            return stored
+    overwrite(encode(docs, encoder, dimension), places[0])
+    meta = [(model_name, dimension, docs.count(), "L2", "cosine")]
+    overwrite(spark.createDataFrame(meta, EMBEDDING_META), places[1])
+    return spark.read.parquet(places[0])
+
+
 def non_blank(queries: DataFrame) -> DataFrame:
-    return queries.where(present(F.trim("query_text")))
+    return queries.where(present(strip("query_text")))

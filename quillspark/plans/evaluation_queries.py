@@ -13,10 +13,10 @@ from quillspark.operators import evaluation as E
 from quillspark.operators import judgments as J
 from quillspark.operators import search as S
 from quillspark.plans import tables as T
-from quillspark.plans.registry import query
+from quillspark.plans.registry import ORACLES, query
 from quillspark.plans.search_queries import entities
 from quillspark.plans.sql import BM25, ENTITIES, VECTORS, cosine_top, hybrid, overlaps
-from quillspark.runtime import stash
+from quillspark.runtime import kept, stash
 
 PAIRS = [("A", "B"), ("B", "C"), ("A", "C")]
 
@@ -44,15 +44,22 @@ _DIFFS = f"""{_METRICS}, long AS (UNPIVOT metrics ON {', '.join(E.METRICS)} INTO
 diffs AS (SELECT p.b || ' vs ' || p.a AS pair, x.metric, x.query_id, y.value - x.value AS diff FROM (VALUES ('A', 'B'), ('B', 'C'), ('A', 'C')) p(a, b) JOIN long x ON x.system = p.a JOIN long y ON y.system = p.b AND y.query_id = x.query_id AND y.metric = x.metric)"""
 
 
+_INPUTS = ("documents", "benchmark", "embeddings", "lineitem", "part", "orders")
+
+
 def results(spark, sf):
-    """Top ten of the three systems; written once, as every metric reads it."""
+    """Top ten of the three systems; written once, as every metric of every query reads it."""
+    return kept(spark, "results", [f"{sf}/{name}.parquet" for name in _INPUTS], lambda: _results(spark, sf))
+
+
+def _results(spark, sf):
     questions = T.questions(spark, sf)
     a = S.bm25_search(S.build_index(T.corpus(spark, sf)), questions)
     asked = questions.join(T.vectors(spark, sf), F.col("query_id") == F.col("paper_id")).select("query_id", F.col("embedding").alias("query_vector"))
     candidates = stash(S.cosine_search(T.vectors(spark, sf), asked, S.CANDIDATES), "candidates").df
     c = S.rerank(candidates, entities(spark, sf))
     keep = lambda df, name: df.select(F.lit(name).alias("system"), "query_id", "rank", "paper_id")
-    return stash(keep(a, "A").unionByName(keep(candidates.where("rank <= 10"), "B")).unionByName(keep(c, "C")), "results").df
+    return keep(a, "A").unionByName(keep(candidates.where("rank <= 10"), "B")).unionByName(keep(c, "C"))
 
 
 def judged(spark, sf, found):
@@ -108,7 +115,16 @@ def paired_ttest(spark, sf):
     return E.t_test(_diffs(spark, sf)).drop("t")
 
 
-@query("paired_ttest_p")
+#: Two-tailed p of Student's t for whole degrees of freedom v, a finite series in the angle atan(t / sqrt(v)).
+_T_P = f"""WITH {_DIFFS}, s AS (SELECT pair, metric, count(*) AS n, avg(diff) AS mean, coalesce(stddev_samp(diff), 0) AS sd FROM diffs GROUP BY 1, 2),
+x AS (SELECT *, n - 1 AS v, CASE WHEN sd < 1e-12 AND abs(mean) < 1e-12 THEN 0 WHEN sd < 1e-12 THEN sign(mean) * 'inf'::DOUBLE ELSE mean / (sd / sqrt(n)) END AS t FROM s),
+y AS (SELECT *, CASE WHEN isinf(t) THEN pi() / 2 ELSE atan(abs(t) / sqrt(v)) END AS angle FROM x),
+c AS (SELECT j, exp(sum(CASE WHEN j > 0 THEN ln(2 * j / (2 * j + 1)) ELSE 0 END) OVER (ORDER BY j)) AS odd, exp(sum(CASE WHEN j > 0 THEN ln((2 * j - 1) / (2 * j)) ELSE 0 END) OVER (ORDER BY j)) AS even FROM (SELECT CAST(unnest(generate_series(0, 2000)) AS DOUBLE) AS j)),
+a AS (SELECT y.*, CASE WHEN v % 2 = 1 THEN 2 / pi() * (angle + sin(angle) * coalesce((SELECT sum(odd * cos(angle) ** (2 * j + 1)) FROM c WHERE 2 * j <= v - 3), 0)) ELSE sin(angle) * (SELECT sum(even * cos(angle) ** (2 * j)) FROM c WHERE 2 * j <= v - 2) END AS inside FROM y)
+SELECT pair, metric, n, round(mean + 1e-9, 6) AS mean_diff, round(sd, 6) AS std_diff, CASE WHEN isinf(t) THEN t ELSE round(t, 4) END AS t_stat, CASE WHEN sd < 1e-12 THEN 0 ELSE round(mean / sd, 4) END AS cohens_d, abs(round(1 - inside, 6)) AS p_value FROM a"""
+
+
+@query("paired_ttest_p", _T_P)
 def paired_ttest_p(spark, sf):
     return E.with_t_p_value(E.t_test(_diffs(spark, sf)))
 
@@ -124,7 +140,13 @@ def wilcoxon(spark, sf):
     return E.wilcoxon(_diffs(spark, sf)).drop("z")
 
 
-@query("wilcoxon_p")
+#: Two-tailed p of the normal distribution by its power series.
+_Z_P = ORACLES["wilcoxon"].replace("SELECT pair, metric, n_total, n AS n_nonzero", """, zs AS (SELECT *, CASE WHEN variance <= 0 THEN 0 WHEN w < mid THEN (w - mid + 0.5) / sqrt(variance) WHEN w > mid THEN (w - mid - 0.5) / sqrt(variance) ELSE 0 END AS z FROM stat),
+c AS (SELECT j, sum(ln(2 * j + 1)) OVER (ORDER BY j) AS ln_odds FROM (SELECT CAST(unnest(generate_series(0, 400)) AS DOUBLE) AS j))
+SELECT pair, metric, n_total, n AS n_nonzero""").replace(" FROM stat", ", abs(round(CASE WHEN z = 0 THEN 1 ELSE 1 - 2 * exp(-z * z / 2) / sqrt(2 * pi()) * (SELECT sum(exp((2 * j + 1) * ln(abs(z)) - ln_odds)) FROM c) END, 6)) AS p_value FROM zs").replace(", abs(round(CASE WHEN z = 0 THEN 1 ELSE 1 - 2 * exp(-z * z / 2) / sqrt(2 * pi()) * (SELECT sum(exp((2 * j + 1) * ln(abs(z)) - ln_odds)) FROM c) END, 6)) AS p_value FROM zs)", " FROM stat)", 1)
+
+
+@query("wilcoxon_p", _Z_P)
 def wilcoxon_p(spark, sf):
     return E.with_z_p_value(E.wilcoxon(_diffs(spark, sf)))
 
@@ -241,3 +263,12 @@ def pool_set_difference(spark, sf):
     sides = a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))
     counts = sides.groupBy("query_id").agg(F.count_if(F.col("side") == "a").alias("only_a"), F.count_if(F.col("side") == "b").alias("only_b"))
     return found.where("system in ('A', 'B')").select("query_id").distinct().join(counts, "query_id", "left").fillna(0)
+
+
+@query("pool_documents", f"WITH {_POOL} SELECT p.query_id, p.paper_id, coalesce(source, 'found ' || p.paper_id) AS title, substr(sha256(text), 1, 12) AS digest FROM pool p LEFT JOIN documents ON doc_id = p.paper_id AND doc_id % 3 <> 0")
+def pool_documents(spark, sf):
+    """The corpus lacks every third document: those keep the title they were found with."""
+    found = results(spark, sf)
+    docs = T.read(spark, sf, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("paper_id"), F.col("source").alias("title"), F.col("text").alias("abstract"))
+    rows = E.pool_documents(E.pool(found), found.withColumn("title", F.concat(F.lit("found "), F.col("paper_id").cast("string"))), docs)
+    return rows.select("query_id", "paper_id", "title", F.substring(F.sha2("abstract", 256), 1, 12).alias("digest"))

@@ -8,7 +8,8 @@ from quillspark.functions.text import tokenize
 from quillspark.operators import search as S
 from quillspark.plans import tables as T
 from quillspark.plans.registry import query
-from quillspark.plans.sql import BM25, ENTITIES, TOKENS, VECTORS, cosine_top, hybrid, overlaps
+from quillspark.plans.sql import BM25, ENTITIES, TOKENS, VECTORS, cosine_top, hybrid, overlaps, words
+from quillspark.runtime import shared_path
 
 ALPHAS = [(str(a), a) for a in (0.0, 0.15, 0.3, 0.5, 0.7, 0.85, 1.0)]
 DEPTHS = (5, 10, 20, 30, 50)
@@ -19,6 +20,19 @@ def bm25_topk(spark, sf):
     return S.bm25_search(S.build_index(T.corpus(spark, sf)), T.questions(spark, sf)).drop("matched_query_tokens")
 
 
+@query("bm25_total_hits", f"WITH {BM25} SELECT item_id AS query_id, count(paper_id) AS total_hits FROM benchmark LEFT JOIN bm25_top ON query_id = item_id AND item_id % 10 <> 0 GROUP BY 1")
+def bm25_total_hits(spark, sf):
+    """Every tenth question is blank."""
+    asked = T.questions(spark, sf).withColumn("query_text", F.when(F.col("query_id") % 10 == 0, " \t\n").otherwise(F.col("query_text")))
+    return S.total_hits(asked, S.bm25_search(S.build_index(T.corpus(spark, sf)), asked))
+
+
+@query("bm25_metadata", f"WITH {BM25}, m AS (SELECT item_id, array_to_string({words('text')}, ' ') AS tokens FROM benchmark) SELECT query_id, rank, paper_id, score, tokens AS matched_query_tokens FROM bm25_top JOIN m ON item_id = query_id")
+def bm25_metadata(spark, sf):
+    found = S.bm25_search(S.build_index(T.corpus(spark, sf)), T.questions(spark, sf))
+    return found.withColumn("matched_query_tokens", F.array_join("matched_query_tokens", " "))
+
+
 @query("bm25_index_stats", f"WITH {BM25} SELECT any_value(n) AS n_docs, round(any_value(mean), 4) AS avgdl, (SELECT count(*) FROM terms) AS n_terms, (SELECT count(*) FROM tf) AS n_postings, (SELECT round(avg(idf), 4) FROM terms) AS mean_idf FROM size")
 def bm25_index_stats(spark, sf):
     index = S.build_index(T.corpus(spark, sf))
@@ -97,3 +111,44 @@ def hybrid_k_sweep(spark, sf):
 @query("hybrid_fallback", f"WITH {VECTORS}, {_ASKED}, cand AS ({cosine_top('asked', 'vec_id', 20)}) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, paper_id) AS rank, paper_id, round(score, 6) AS hybrid_score, true AS fallback_used FROM cand QUALIFY rank <= 10")
 def hybrid_fallback(spark, sf):
     return S.rerank(_candidates(spark, sf), None).select("query_id", "rank", "paper_id", "hybrid_score", "fallback_used")
+
+
+_META = """semantic_score, graph_score, hybrid_score, semantic_rank, rank AS hybrid_rank, semantic_rank - rank AS rank_change, o_topic AS topic_overlap, o_author AS author_overlap, o_institution AS institution_overlap,
+raw_topic AS raw_topic_overlap, raw_author AS raw_author_overlap, raw_institution AS raw_institution_overlap, alpha, '0.5,0.25,0.25' AS graph_weights, 20 AS candidate_k, true AS graph_available, false AS fallback_used, 1.5 AS sem_latency_ms, CAST(NULL AS DOUBLE) AS graph_latency_ms"""
+
+
+@query("rerank_details", _hybrid_sql("('default', 0.7::DOUBLE)") + f" SELECT query_id, rank, paper_id, hybrid_score AS score, {_META} FROM hyb")
+def rerank_details(spark, sf):
+    found = S.details(S.rerank(_candidates(spark, sf), S.reachable(lambda: entities(spark, sf))), sem_latency_ms=1.5)
+    return found.select("query_id", "rank", "paper_id", "score", "metadata.*").withColumn("graph_weights", F.concat_ws(",", "graph_weights.topic", "graph_weights.author", "graph_weights.institution"))
+
+
+@query("hybrid_unreachable", f"WITH {VECTORS}, {_ASKED}, cand AS ({cosine_top('asked', 'vec_id', 20)}) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, paper_id) AS rank, paper_id, true AS fallback_used FROM cand QUALIFY rank <= 10")
+def hybrid_unreachable(spark, sf):
+    """The graph's table is missing, so the semantic order stands."""
+    missing = S.reachable(lambda: T.read(spark, sf, "no_such_table"))
+    return S.rerank(_candidates(spark, sf), missing).select("query_id", "rank", "paper_id", "fallback_used")
+
+
+@query("hybrid_no_institutions", _hybrid_sql("('default', 0.7::DOUBLE)").replace("0.5 * o_topic + 0.25 * o_author + 0.25 * o_institution", "0.666667 * o_topic + 0.333333 * o_author + 0.0 * o_institution") + f" {_SELECT} FROM hyb")
+def hybrid_no_institutions(spark, sf):
+    """Weights given for one run: institutions are left out, the others scaled to one."""
+    return S.rerank(_candidates(spark, sf), entities(spark, sf), weights={"topic": 2.0, "author": 1.0, "institution": 0.0}).select(*_COLUMNS)
+
+
+@query("embedding_cache", """WITH c AS (SELECT doc_id, [1.0 + len(text) - len(replace(text, x, '')) FOR x IN ['a', 'e', 'i', 'o', 'u']] AS v FROM documents)
+SELECT doc_id AS paper_id, round(CAST(CAST(v[1] / sqrt(list_sum([y * y FOR y IN v])) AS FLOAT) AS DOUBLE), 4) AS a, 5 AS dimension FROM c""")
+def embedding_cache(spark, sf):
+    """Vectors are encoded once, written, and read again from the store."""
+    path = shared_path(spark, "embedding-store")
+
+    def letters(texts: list[str]) -> list[list[float]]:
+        return [[1.0 + t.count(x) for x in "aeiou"] for t in texts]
+
+    def never(texts):
+        raise AssertionError("the store is valid")
+
+    S.load_or_encode(T.corpus(spark, sf), letters, path, "letters", 5)
+
+    found = S.load_or_encode(T.corpus(spark, sf), never, path, "letters", 5)
+    return found.select("paper_id", F.round(F.get("embedding", 0).cast("double"), 4).alias("a"), F.size("embedding").alias("dimension"))

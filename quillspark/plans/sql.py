@@ -53,5 +53,5 @@ lap AS (SELECT *, {norm} FROM sums WINDOW w AS (PARTITION BY query_id))"""
 def hybrid(alphas: str, top: int = 10) -> str:
     """``hyb``: reranked rows for each (setting, alpha) of ``alphas``."""
     return f"""graphed AS (SELECT *, round(0.5 * o_topic + 0.25 * o_author + 0.25 * o_institution, 6) AS graph_score FROM lap),
-mixed AS (SELECT setting, alpha, query_id, paper_id, rank AS semantic_rank, score AS semantic_score, graph_score, round(alpha * score + (1 - alpha) * graph_score + 1e-10, 6) AS hybrid_score FROM graphed, (VALUES {alphas}) s(setting, alpha)),
+mixed AS (SELECT o_topic, o_author, o_institution, raw_topic, raw_author, raw_institution, setting, alpha, query_id, paper_id, rank AS semantic_rank, score AS semantic_score, graph_score, round(alpha * score + (1 - alpha) * graph_score + 1e-10, 6) AS hybrid_score FROM graphed, (VALUES {alphas}) s(setting, alpha)),
 hyb AS (SELECT *, row_number() OVER (PARTITION BY setting, query_id ORDER BY hybrid_score DESC, paper_id) AS rank FROM mixed QUALIFY rank <= {top})"""

@@ -111,14 +111,14 @@ def normalize_works(spark, sf):
     return works(spark, sf).unionByName(works(spark, sf, 1)).select(*_FLAT, *_HIERARCHY)
 
 
-def _list(name: str, table: str, sql: str, *columns):
+def _list(name: str, table: str, sql: str, *columns: str):
     @query(f"normalized_{name}", f"WITH {WORKS} SELECT raw_id, {sql} FROM {table} x JOIN w ON w.o = x.o WHERE raw_id IS NOT NULL")
     def run(spark, sf):
         rows = works(spark, sf).where("raw_id is not null").select("raw_id", F.explode(name).alias("x"))
-        return rows.select("raw_id", *columns)
+        return rows.selectExpr("raw_id", *columns)
 
 
-_list("authors", "a", "x.id, name, affiliation", "x.id", "x.name", F.array_join("x.raw_affiliation_strings", ";").alias("affiliation"))
+_list("authors", "a", "x.id, name, affiliation", "x.id", "x.name", "array_join(x.raw_affiliation_strings, ';') AS affiliation")
 _list("institutions", "i", "x.id, name, country_code, ror", "x.id", "x.name", "x.country_code", "x.ror")
 _list("topics", "t", "x.id, name, score", "x.id", "x.name", "x.score")
 _list("concepts", "c", "x.id, name, level, score", "x.id", "x.name", "x.level", "x.score")

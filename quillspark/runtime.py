@@ -85,3 +85,22 @@ def discard(spark: SparkSession, *tables: Stash | str) -> None:
         path = jvm.org.apache.hadoop.fs.Path(table if isinstance(table, str) else table.path)
         fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         fs.delete(path, True)
+
+
+_KEPT: dict[tuple, DataFrame] = {}
+
+
+def kept(spark: SparkSession, name: str, inputs: list[str], make) -> DataFrame:
+    """The table ``make()``, written once for each state (time and size) of its input paths and read by
+    every query of the application that needs it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def state(path: str) -> tuple:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(conf)
+        return path, fs.getFileStatus(at).getModificationTime(), fs.getContentSummary(at).getLength()
+
+    key = (spark.sparkContext.applicationId, name, *map(state, inputs))
+    if key not in _KEPT:
+        _KEPT[key] = stash(make(), name).df
+    return _KEPT[key]

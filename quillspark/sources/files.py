@@ -59,6 +59,16 @@ def overwrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_metrics(metrics: DataFrame, path: str) -> None:
+    """A small table of metrics as one JSON file."""
+    metrics.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def write_batches(items: DataFrame, path: str) -> None:
+    """Masked items as JSON lines, a folder a batch; other batches in ``path`` stay."""
+    items.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", False).partitionBy("batch_id").json(path)
+
+
 def run_metadata(spark: SparkSession, values: dict[str, str]) -> DataFrame:
     """One row: the values and ``timestamp_utc``."""
     columns = [F.lit(str(v)).alias(k) for k, v in values.items()]
