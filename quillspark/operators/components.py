@@ -1,9 +1,11 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014). Every round is two
-aggregations with map-side combination and two equi-joins, so a hub with very many links never
-meets in one task; its edges are written to the shared folder after every round, which cuts the
-lineage and lets the loop survive lost executors.
+aggregations with map-side combination and two equi-joins of a node's links with its one least
+neighbour. A hub's links share a join key: they are spread over tasks only by adaptive execution,
+which splits skewed partitions of a join from its configured size on; below that they meet in one
+task. The edges are written to the shared folder after every round, which cuts the lineage and lets
+the loop survive lost executors.
 """
 
 from __future__ import annotations

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from typing import NamedTuple
@@ -14,8 +15,14 @@ PACKAGE_DIR = os.path.dirname(os.path.abspath(__file__))
 REPO_DIR = os.path.dirname(PACKAGE_DIR)
 
 
-#: Paths of the tables written so far, for those who remove them in the end.
-MADE: list[str] = []
+class _Made(threading.local):
+    """Paths of the tables that this thread has written, for those who remove them in the end."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+MADE = _Made()
 
 
 class Stash(NamedTuple):
@@ -74,7 +81,7 @@ def stash(df: DataFrame, name: str) -> Stash:
     survives the loss of executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    MADE.append(path)
+    MADE.paths.append(path)
     return Stash(df.sparkSession.read.schema(df.schema).parquet(path), path)
 
 
