@@ -33,15 +33,21 @@ DATE = "1970-01-01T00:00:00Z"
 LEVEL = 1
 
 
+def record_id(page_id, digest: str) -> str:
+    """Id of the response record of a page, which its revisits name as well."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest}')}>"
+
+
 def record(url: str | None, page_id, payload: bytes, digest: str, refers_to, date: str = DATE) -> bytes:
-    """One WARC record. A revisit has the headers of its payload but not the payload."""
+    """One WARC record. A revisit has the headers of its payload but not the payload; besides the standard
+    reference to the response's record it names its page in a header of our own, which readers need no index for."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id} {url} {digest}")
+    own = record_id(page_id, digest) if refers_to is None else record_id(f"{page_id} {url} revisits {refers_to}", digest)
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:uuid:{name}>",
+        f"WARC-Record-ID: {own}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {_line(url)}",
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -50,7 +56,7 @@ def record(url: str | None, page_id, payload: bytes, digest: str, refers_to, dat
         f"Content-Length: {len(block)}",
     ]
     if refers_to is not None:
-        lines[2:2] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Page: {refers_to}"]
+        lines[2:2] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-Refers-To-Page: {refers_to}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 

@@ -495,6 +495,15 @@ def test_warc(spark):
     assert warc.read_records(index.where("page_id = 6")).collect()[0].html == "é" * 60
 
 
+def test_warc_revisits_name_their_response():
+    page = b"<p>" + b"long " * 40
+    digest = hashlib.sha256(page).hexdigest()
+    response, revisit = (warc.record("u", n, page, digest, to) for n, to in ((1, None), (3, 1)))
+    name = re.search(rb"WARC-Record-ID: (\S+)", response).group(1)
+    assert re.search(rb"WARC-Refers-To: (\S+)", revisit).group(1) == name and re.search(rb"WARC-Record-ID: (\S+)", revisit).group(1) != name
+    assert warc.parse(revisit)["refers_to"] == 1 and warc.parse(revisit)["payload"] is None and warc.parse(response)["payload"] == page
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (3, 1, "assistant", "yo"), (4, 0, None, None), (5, 0, "user", "other")]
     df = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, place int")
