@@ -101,9 +101,12 @@ def label_histogram(qrels: DataFrame) -> DataFrame:
 
 
 def number_items(items: DataFrame) -> DataFrame:
+    """Items with their number in the query, by paper_id; the ids are numbered alone and the texts joined back."""
     from pyspark.sql import Window
 
-    return items.withColumn("item", F.row_number().over(Window.partitionBy("query_id").orderBy("paper_id")))
+    ids = items.select("query_id", "paper_id").distinct()
+    numbers = ids.withColumn("item", F.row_number().over(Window.partitionBy("query_id").orderBy("paper_id")))
+    return items.join(numbers, ["query_id", "paper_id"])
 
 
 def markdown_export(items: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ CANDIDATES, ALPHA = 20, 0.7
 #: Weights of the kinds of shared neighbours.
 WEIGHTS = {"topic": 0.5, "author": 0.25, "institution": 0.25}
 KINDS = ("topic", "author", "institution")
+#: Queries that are multiplied with a batch of vectors at once.
+BLOCK = 1024
 #: Fixed value: the instruction before queries.
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 
@@ -84,18 +86,49 @@ def total_hits(queries: DataFrame, results: DataFrame) -> DataFrame:
     return queries.select("query_id").join(found, "query_id", "left").fillna(0, ["total_hits"])
 
 
-def cosine_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """All scores of ``queries(query_id, query_vector)`` against ``vectors(paper_id, embedding)``.
+def cosine_search(vectors: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
+    """The ``top_k`` of ``vectors(paper_id, embedding)`` for each of ``queries(query_id, query_vector)``, by exact cosine.
 
-    The stated queries go against all rows: a nested loop with the smaller side sent around, whose
-    per-query top k is cut in every task before the shuffle.
+    Both sides in blocks: the queries lie in the shared folder, and a task multiplies each block of its
+    vectors with one block of them after the other and keeps the best of each product, ties included.
+    Null vectors find and are found by nothing. A query and its block's best are all that is shuffled.
     """
-    asked = queries.select("query_id", unit("query_vector").alias("q"))
-    return vectors.select("paper_id", unit("embedding").alias("e")).crossJoin(asked).select("query_id", "paper_id", dot("q", "e").alias("score"))
+    sized = lambda name: F.col(name).isNotNull() & (F.size(name) > 0)
+    asked = queries.where(sized("query_vector")).select("query_id", unit("query_vector").alias("q"))
+    written = stash(asked, "asked")
+    kinds = f"query_id {dict(queries.dtypes)['query_id']}, paper_id {dict(vectors.dtypes)['paper_id']}, score double"
+    rows = vectors.where(sized("embedding")).select("paper_id", unit("embedding").alias("e"))
+    found = rows.mapInArrow(_best(written.path, max(top_k, 0)), kinds)
+    return ranked(found, top_k).select("query_id", "rank", "paper_id", "score")
 
 
-def cosine_search(vectors: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
-    return ranked(cosine_scores(vectors, queries), top_k).select("query_id", "rank", "paper_id", "score")
+def _best(path: str, top_k: int):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.fs as pafs
+    import pyarrow.parquet as pq
+
+    def matrix(cells):
+        return cells.flatten().to_numpy().reshape(len(cells), -1)
+
+    def run(batches):
+        fs, folder = pafs.FileSystem.from_uri(path)
+        files = [x.path for x in fs.get_file_info(pafs.FileSelector(folder)) if x.path.endswith(".parquet")]
+        for batch in batches:
+            if not batch.num_rows or not top_k:
+                continue
+            e = matrix(batch.column("e"))
+            for name in files:
+                with fs.open_input_file(name) as file:
+                    for asked in pq.ParquetFile(file).iter_batches(BLOCK):
+                        scores = matrix(asked.column("q")) @ e.T
+                        near = np.round(scores, 10)
+                        k = min(top_k, len(e))
+                        least = np.partition(near, len(e) - k, axis=1)[:, len(e) - k]
+                        row, at = np.nonzero(near >= least[:, None])
+                        yield pa.RecordBatch.from_arrays([asked.column("query_id").take(pa.array(row)), batch.column("paper_id").take(pa.array(at)), pa.array(scores[row, at])], ["query_id", "paper_id", "score"])
+
+    return run
 
 
 def check_weights(weights: dict[str, float]) -> dict[str, float]:

@@ -14,7 +14,7 @@ from quillspark.operators import judgments as J
 from quillspark.operators import search as S
 from quillspark.plans import tables as T
 from quillspark.plans.registry import ORACLES, query
-from quillspark.plans.search_queries import entities
+from quillspark.plans.search_queries import entities, index
 from quillspark.plans.sql import BM25, ENTITIES, VECTORS, cosine_top, hybrid, overlaps
 from quillspark.runtime import kept, stash
 
@@ -54,7 +54,7 @@ def results(spark, sf):
 
 def _results(spark, sf):
     questions = T.questions(spark, sf)
-    a = S.bm25_search(S.build_index(T.corpus(spark, sf)), questions)
+    a = S.bm25_search(index(spark, sf), questions)
     asked = questions.join(T.vectors(spark, sf), F.col("query_id") == F.col("paper_id")).select("query_id", F.col("embedding").alias("query_vector"))
     candidates = stash(S.cosine_search(T.vectors(spark, sf), asked, S.CANDIDATES), "candidates").df
     c = S.rerank(candidates, entities(spark, sf))

@@ -94,12 +94,11 @@ def discard(spark: SparkSession, *tables: Stash | str) -> None:
         fs.delete(path, True)
 
 
-_KEPT: dict[tuple, DataFrame] = {}
+_ONCE: dict[tuple, object] = {}
 
 
-def kept(spark: SparkSession, name: str, inputs: list[str], make) -> DataFrame:
-    """The table ``make()``, written once for each state (time and size) of its input paths and read by
-    every query of the application that needs it."""
+def once(spark: SparkSession, name: str, inputs: list[str], make):
+    """What ``make()`` gives, made once an application for each state (time and size) of its input paths."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
     def state(path: str) -> tuple:
@@ -108,6 +107,11 @@ def kept(spark: SparkSession, name: str, inputs: list[str], make) -> DataFrame:
         return path, fs.getFileStatus(at).getModificationTime(), fs.getContentSummary(at).getLength()
 
     key = (spark.sparkContext.applicationId, name, *map(state, inputs))
-    if key not in _KEPT:
-        _KEPT[key] = stash(make(), name).df
-    return _KEPT[key]
+    if key not in _ONCE:
+        _ONCE[key] = make()
+    return _ONCE[key]
+
+
+def kept(spark: SparkSession, name: str, inputs: list[str], make) -> DataFrame:
+    """The table ``make()``, written once for each state of its inputs and read by every query that needs it."""
+    return once(spark, name, inputs, lambda: stash(make(), name).df)
