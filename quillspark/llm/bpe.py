@@ -206,7 +206,11 @@ def _public(path: str | None, pattern: str | None) -> tuple[str, str]:
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``(doc_id, ids)`` of every row of ``docs(doc_id, text)``; a null or empty text has no ids."""
+    """``(doc_id, ids)`` of every row of ``docs(doc_id, text)``; a null or empty text has no ids.
+
+    Repeated rows give repeated rows, a null doc_id stays null. Extra columns are ignored, whatever
+    their names; an empty table gives an empty result.
+    """
     return docs.select("doc_id", "text").mapInArrow(_ids(*_public(path, pattern)), f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
 
 

@@ -287,7 +287,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, limit: int = JACCARD_LIMIT) -> DataFrame:
     """The rows of ``docs`` without near duplicates (exact Jaccard similarity, see ``jaccard``): of each
     group the row with the smallest doc_id (then the first such row) stays; rows without words are
-    copies of each other. All columns stay."""
+    copies of each other, null and empty texts too. A null doc_id comes last in its group and is
+    otherwise nothing special; of repeated rows one stays. All columns stay, whatever their names; an
+    empty table gives an empty result."""
     rid = unused(docs.columns, "row_number")
     rows = stash(docs.withColumn(rid, F.monotonically_increasing_id()), "jaccard-docs").df
     found = near_groups(rows.select(F.col(rid).alias("rid"), "doc_id", "text"), limit)

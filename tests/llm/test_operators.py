@@ -412,6 +412,31 @@ def test_bpe(docs):
     assert bpe.round_trip(docs).count() == len(ROWS) and bpe.round_trip(empty(docs)).count() == 0
 
 
+def test_long_texts_without_spaces():
+    """Texts of a megabyte that are one word: same ids as the libraries, and memos that stay within their bytes."""
+    import base64
+
+    import public_tokenizers as tokens
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefg") for _ in range(1 << 20)) for _ in range(2)]
+    with open(tokens.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    want = tiktoken.Encoding("own", pat_str=tokens.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coder = bpe.Encoder(tokens.path("byte_bpe_50k.tiktoken"), tokens.PATTERN)
+    own, words = Tokenizer.from_file(tokens.path("word_bpe_49k.json")), packing.WordTokenizer(tokens.path("word_bpe_49k.json"))
+    for text in texts:
+        assert list(map(int, coder.encode([text])[0].split())) == want.encode_ordinary(text)
+        assert np.frombuffer(words.encode([text])[0], "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
+    for memo in (coder.words, coder.spaced, words.known):
+        memo.most = 1 << 20
+        memo.turn()
+        memo.turn()
+        assert memo.bytes == 0
+
+
 def test_language(spark):
     words = {"en": ["the", "and", "with", "thing"], "fr": ["le", "que", "eau", "être"], "de": ["und", "der", "für", "schön"]}
     rows = [(i, " ".join(RNG.choice(words[x]) for _ in range(12)), x) for i in range(300) for x in [RNG.choice(list(words))]]
