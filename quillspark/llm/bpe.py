@@ -15,14 +15,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm.common import Memo, blocks, documents
+from quillspark.llm.common import Memo, blocks, documents, held
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bytes of words, and of chunks, that a worker remembers.
@@ -169,9 +168,8 @@ class Encoder:
         return b"".join(map(self.bytes_of.__getitem__, ids.split()))
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+    return held(("bytes", path, pattern), lambda: Encoder(path, pattern))
 
 
 def _rows(path: str, pattern: str):

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,11 +89,33 @@ class Memo:
 
     def add(self, items: dict) -> None:
         self.young.update(items)
-        self.bytes += sum(map(len, items)) + sum(len(x) for x in items.values() if x) + self.ENTRY * len(items)
+        self.bytes += sum(map(len, items)) + sum(map(len, filter(None, items.values()))) + self.ENTRY * len(items)
+
+
+_HELD: dict = {}
+_HELD_BY: list = [None]
+
+
+def _turn_over() -> None:
+    context = TaskContext.get()
+    stage = context.stageId() if context else None
+    if stage != _HELD_BY[0]:
+        _HELD.clear()
+        pa.default_memory_pool().release_unused()
+        _HELD_BY[0] = stage
+
+
+def held(key, make):
+    """What ``make()`` gives, which a worker keeps for its tasks of one stage and drops with the first task of another."""
+    _turn_over()
+    if key not in _HELD:
+        _HELD[key] = make()
+    return _HELD[key]
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` of each holds about ``most`` bytes, and one row at least."""
+    _turn_over()
     for batch in batches:
         if batch.num_rows == 0:
             continue

@@ -20,7 +20,6 @@ import unicodedata
 import zlib
 from bisect import bisect_left
 from collections import defaultdict
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -29,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Memo, blocks, documents
+from quillspark.llm.common import Memo, blocks, documents, held
 from quillspark.runtime import stash
 
 LENGTH, END = 4096, 1
@@ -100,11 +99,6 @@ class WordTokenizer:
         return [b"".join(map(known, plain[i])) if i in plain else self._whole(t) for i, t in enumerate(texts)]
 
 
-@lru_cache(maxsize=1)
-def _tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
-
-
 def _cut(path: str, length: int):
     end = END.to_bytes(4, "little")
 
@@ -113,7 +107,7 @@ def _cut(path: str, length: int):
 
         task = TaskContext.get().partitionId()
         numbers: dict[int, int] = defaultdict(int)
-        tokenizer = _tokenizer(path)
+        tokenizer = held(("words", path), lambda: WordTokenizer(path))
         for batch in blocks(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             rows, piece, start, size, crc, number = [], [], [], [], [], []
