@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Memo, blocks, documents, held
+from quillspark.llm.common import BLOCK_BYTES, Memo, blocks, documents, held
 from quillspark.runtime import stash
 
 LENGTH, END = 4096, 1
@@ -60,7 +60,7 @@ class WordTokenizer:
     (``<|endoftext|>``) go to it whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -68,7 +68,7 @@ class WordTokenizer:
         names = self.tokenizer.get_vocab()
         self.last = np.zeros(max(names.values()) + 1, bool)
         self.last[[i for name, i in names.items() if name.endswith("</w>")]] = True
-        self.known = Memo(REMEMBERED)
+        self.known = Memo(remembered)
 
     def _learn(self, texts: list[list[str]]) -> None:
         """Encode the chunks of ``texts`` that are not known yet."""
@@ -99,7 +99,7 @@ class WordTokenizer:
         return [b"".join(map(known, plain[i])) if i in plain else self._whole(t) for i, t in enumerate(texts)]
 
 
-def _cut(path: str, length: int):
+def _cut(path: str, length: int, remembered: int, text_bytes: int):
     end = END.to_bytes(4, "little")
 
     def run(batches):
@@ -107,8 +107,8 @@ def _cut(path: str, length: int):
 
         task = TaskContext.get().partitionId()
         numbers: dict[int, int] = defaultdict(int)
-        tokenizer = held(("words", path), lambda: WordTokenizer(path))
-        for batch in blocks(batches):
+        tokenizer = held(("words", path, remembered), lambda: WordTokenizer(path, remembered))
+        for batch in blocks(batches, most=text_bytes):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             rows, piece, start, size, crc, number = [], [], [], [], [], []
             for i, ids in enumerate(tokenizer.encode(texts)):
@@ -257,12 +257,13 @@ def _place(shared):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, length: int = LENGTH) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, length: int = LENGTH, remembered: int = REMEMBERED, text_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Pack every row of ``docs(doc_id, text)``; one row a piece with its place.
 
     A null or empty text is the end id alone. Repeated rows are packed each. doc_id may be null.
     Extra columns are ignored; an empty table gives an empty result. Only texts longer than a
-    sequence are cut; their last piece may be shorter.
+    sequence are cut; their last piece may be shorter. ``remembered`` and ``text_bytes`` bound what a
+    worker holds, at the price of time; the result does not depend on them.
     """
     if tokenizer_path is None:
         import public_tokenizers
@@ -271,7 +272,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, length: int = LENGT
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, number long, task long"
-    pieces = stash(docs.select("doc_id", "text").mapInArrow(_cut(tokenizer_path, length), schema), "packing").df
+    pieces = stash(docs.select("doc_id", "text").mapInArrow(_cut(tokenizer_path, length, remembered, text_bytes), schema), "packing").df
     # Not written: the narrow rows are counted again where the counts are needed.
     counts = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     by = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
