@@ -32,10 +32,12 @@ class Stash(NamedTuple):
     path: str
 
 
-def ship(spark: SparkSession) -> None:
-    """Make the package importable on executors, and bound Arrow batches by bytes as well as rows."""
+def ship(spark: SparkSession, batch_bytes: int = 4 << 20) -> None:
+    """Make the package importable on executors, and bound Arrow batches by bytes as well as rows.
+
+    Both bounds are settings of the session that stay set, as plans read them when they run."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     if REPO_DIR in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
     sc = spark.sparkContext
