@@ -61,6 +61,14 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(tokens) - size + 1)
 
 
+def majority(hashes: np.ndarray) -> np.uint64:
+    """SimHash of 64-bit hashes: a bit is 1 if set in over half of them."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 16_384):
+        counts += np.unpackbits(hashes[at : at + 16_384].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits((2 * counts > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0]
+
+
 class Memo:
     """Remembered results within ``most`` bytes (an estimate), in two generations.
 

@@ -1,6 +1,8 @@
 """Near duplicates by the exact Jaccard similarity of five-word shingles: 0.8 or more links two texts.
 
-The search is complete (prefix filtering). Put the shingles of every text in one global order; two
+Two searches give the pairs to confirm. First the caller's over fingerprints (SimHash by pigeonring,
+see ``simhash``), which finds most. A fingerprint only estimates the similarity, so the pairs that it
+has not brought into one group are then searched completely, by prefix filtering. Put the shingles of every text in one global order; two
 sets of sizes n and m with a similarity of t share t * max(n, m) shingles at least, so the first
 shingle they share is among the first n - ceil(t * n) + 1 of one and the first m - ceil(t * m) + 1
 of the other. Those shingles are a text's keys. Any global order will do; here shingles that a
@@ -14,9 +16,8 @@ shingles, and similar sets differ in (n + m) / 9 at most, so no link is lost. Sk
 sets and are folded to the shorter one. A pair becomes a link only by its exact similarity, computed
 from both sets (64-bit hashes of shingles). Texts with equal sets are one row throughout.
 
-So that a large group does not have all its pairs checked, every text is checked against its leaders
-first, and confirmed links are joined to groups. Then the pairs of a bucket that are in two groups
-are checked; where they are many, first a spanning forest of the nearest, and once its links are joined,
+So that a large group does not have all its pairs checked, confirmed links are joined to groups and only
+pairs in two groups are checked further: every text against its leaders, then the pairs of a bucket; where they are many, first a spanning forest of the nearest, and once its links are joined,
 all pairs that are still in two groups: none is left out. A bucket beyond ``limit`` rows is cut into blocks and each block is paired
 with each other one and itself, so a task holds two blocks. Keys that the sample finds in more than a
 thousandth of the rows find their leaders by an aggregation with map-side combination, the others by
@@ -26,13 +27,14 @@ a window of narrow rows.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import blocks, pick, shingle_hashes
+from quillspark.llm.common import blocks, majority, pick, shingle_hashes
 from quillspark.operators.components import connected_components
 from quillspark.runtime import discard, stash
 
@@ -111,8 +113,8 @@ def _described(shared):
             keys = [(k.view(np.int64), hot) for k, hot in (prefix(s, shared.value) for s in sets)]
             lists = [pa.array([k[h == side] for k, h in keys], pa.list_(pa.int64())) for side in (False, True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rid"), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(names[:, 0]), pa.array(names[:, 1]), *lists, pa.array([sketch(s) for s in sets], pa.binary())],
-                ["rid", "doc_id", "n", "s0", "s1", "keys", "hot_keys", "sketch"],
+                [batch.column("rid"), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(names[:, 0]), pa.array(names[:, 1]), *lists, pa.array([sketch(s) for s in sets], pa.binary()), pa.array([majority(s).tobytes() for s in sets], pa.binary())],
+                ["rid", "doc_id", "n", "s0", "s1", "keys", "hot_keys", "sketch", "print"],
             )
 
     return run
@@ -158,7 +160,8 @@ def buckets(rows: DataFrame) -> DataFrame:
     return led.unionByName(hot.join(F.broadcast(heads), "key").select("lead", "id")).distinct()
 
 
-def _fit(n, m):
+def fit(n, m):
+    """Whether sets of these sizes can have the least similarity."""
     return UNDER * np.minimum(n, m) >= OVER * np.maximum(n, m)
 
 
@@ -170,7 +173,7 @@ def _stars(batches):
     """Texts beside their leaders in, pairs that may be links out."""
     for batch in batches:
         n, m = (batch.column(x).to_numpy().astype(np.int64) for x in ("n", "m"))
-        cells = zip(batch.column("sketch").to_pylist(), batch.column("lead_sketch").to_pylist(), _fit(n, m).tolist())
+        cells = zip(batch.column("sketch").to_pylist(), batch.column("lead_sketch").to_pylist(), fit(n, m).tolist())
         bits = np.array([apart(a, b) if fit else 1 << 40 for a, b, fit in cells], np.int64)
         yield batch.select(["u", "v"]).filter(pa.array(_near(n, m, bits), pa.bool_()))
 
@@ -184,7 +187,7 @@ def bucket_pairs(ids: np.ndarray, sizes: np.ndarray, parts: np.ndarray, block: n
     step = max(1, (1 << 20) // len(ids))
     for at in range(0, len(few), step):
         a = few[at : at + step]
-        ok = (inverse[a][:, None] != inverse[None, :]) & _fit(sizes[a][:, None], sizes[None, :]) & (~rest[None, :] | (ids[a][:, None] < ids[None, :]))
+        ok = (inverse[a][:, None] != inverse[None, :]) & fit(sizes[a][:, None], sizes[None, :]) & (~rest[None, :] | (ids[a][:, None] < ids[None, :]))
         if across:
             ok &= block[a][:, None] != block[None, :]
         i, j = np.nonzero(ok)
@@ -228,7 +231,7 @@ def chosen(chunks, parts: np.ndarray) -> tuple[np.ndarray, bool]:
     return held, forest
 
 
-def _pairs(sparse: bool):
+def _pairs(sparse: bool, search: Callable):
     """Rows sorted by (lead, lower, upper) in, pairs out; holds one bucket, or two blocks of one, and a batch.
 
     If ``sparse``, dense buckets give a spanning forest of their pairs and their leader with a null.
@@ -240,7 +243,7 @@ def _pairs(sparse: bool):
         for s, e in zip(starts, ends):
             lead, lower, upper = rows[s, :3].tolist()
             ids = rows[s:e, 3]
-            chunks = bucket_pairs(ids, rows[s:e, 4], rows[s:e, 5], rows[s:e, 6], cells[s:e], lower != upper)
+            chunks = search(ids, rows[s:e, 4], rows[s:e, 5], rows[s:e, 6], cells[s:e], lower != upper)
             if sparse:
                 chunk, forest = chosen(chunks, rows[s:e, 5])
                 dense += [lead] if forest else []
@@ -285,47 +288,55 @@ def _pairs(sparse: bool):
     return run
 
 
-def bucketed_pairs(rows: DataFrame, limit: int, sparse: bool) -> DataFrame:
-    """Pairs of two groups of ``rows(lead, id, n, sketch, part)`` that share a bucket and may be links:
-    all of them, once each, or if ``sparse`` as ``_pairs`` says."""
+def bucketed_pairs(rows: DataFrame, limit: int, sparse: bool, search: Callable = bucket_pairs) -> DataFrame:
+    """Pairs of two groups of ``rows(lead, id, n, sketch, part)`` that share a bucket and may be links
+    by ``search``: all of them, once each, or if ``sparse`` as ``_pairs`` says."""
     sizes = rows.groupBy("lead").agg(F.count("*").alias("size"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("lead", "size")
     n = F.ceil(F.col("size") / F.lit(limit)).cast("int")
     rows = rows.join(sizes, "lead").withColumn("block", F.pmod(F.xxhash64("id"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     rows = rows.select("lead", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"), "id", "n", "part", "block", "sketch")
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(tasks, "lead", "lower", "upper").sortWithinPartitions("lead", "lower", "upper")
-    return rows.mapInArrow(_pairs(sparse), "u long, v long").distinct()
+    return rows.mapInArrow(_pairs(sparse, search), "u long, v long").distinct()
 
 
-def near_groups(docs: DataFrame, limit: int = BUCKET_LIMIT) -> DataFrame:
+def near_groups(docs: DataFrame, search: Callable[[DataFrame, int], DataFrame], limit: int = BUCKET_LIMIT) -> DataFrame:
     """``(rid, doc_id, node)`` for every row of ``docs(rid, doc_id, text)``; rows of a group share the node, a rid of theirs.
 
-    Texts without words are copies of each other. A null doc_id is nothing special.
+    ``search`` gives pairs ``(u, v)`` that may be links of the distinct texts ``(id, n, print)`` by their
+    fingerprints. Texts without words are copies of each other. A null doc_id is nothing special.
     """
     spark = docs.sparkSession
     shared_order = spark.sparkContext.broadcast(_frequent(docs))
     kind = dict(docs.dtypes)["doc_id"]
-    described = docs.select("rid", "doc_id", "text").mapInArrow(_described(shared_order), f"rid long, doc_id {kind}, n int, s0 long, s1 long, keys array<long>, hot_keys array<long>, sketch binary")
+    described = docs.select("rid", "doc_id", "text").mapInArrow(
+        _described(shared_order), f"rid long, doc_id {kind}, n int, s0 long, s1 long, keys array<long>, hot_keys array<long>, sketch binary, print binary"
+    )
     rows = stash(described, "jaccard-rows").df
     distinct = stash(rows.groupBy("s0", "s1").agg(F.min("rid").alias("id")), "jaccard-distinct").df
+    pairs = stash(search(pick(rows.where("n > 0").select(F.col("rid").alias("id"), "n", "print"), "id", distinct), limit), "jaccard-ring")
+    links = confirmed(pairs.df, docs)
+    discard(spark, pairs)
     led = stash(buckets(pick(rows.select(F.col("rid").alias("id"), "keys", "hot_keys"), "id", distinct)), "jaccard-buckets")
     texts = pick(rows.select(F.col("rid").alias("id"), "n", "sketch"), "id", led.df)
     shared = stash(led.df.join(texts, "id"), "jaccard-shared")
-    leaders = texts.select(F.col("id").alias("lead"), F.col("n").alias("m"), F.col("sketch").alias("lead_sketch"))
-    stars = shared.df.where("id <> lead").join(leaders, "lead").select(F.col("lead").alias("u"), F.col("id").alias("v"), "n", "m", "sketch", "lead_sketch")
-    pairs = stash(stars.mapInArrow(_stars, "u long, v long").distinct(), "jaccard-pairs")
-    links = confirmed(pairs.df, docs)
     rest = shared.df
-    for sparse in (True, False):
+    for step in ("stars", "sparse", "all"):
         parts = connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("part"))
         grouped = stash(rest.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")), "jaccard-grouped")
-        found = stash(bucketed_pairs(grouped.df, limit, sparse), "jaccard-pairs")
+        if step == "stars":
+            leaders = grouped.df.where("id = lead").select("lead", F.col("n").alias("m"), F.col("sketch").alias("lead_sketch"), F.col("part").alias("lead_part"))
+            stars = grouped.df.where("id <> lead").join(leaders, "lead").where("part <> lead_part").select(F.col("lead").alias("u"), F.col("id").alias("v"), "n", "m", "sketch", "lead_sketch")
+            found = stash(stars.mapInArrow(_stars, "u long, v long").distinct(), "jaccard-pairs")
+        else:
+            found = stash(bucketed_pairs(grouped.df, limit, step == "sparse"), "jaccard-pairs")
         links = links.unionByName(confirmed(found.df.where("v is not null"), docs))
-        dense = stash(found.df.where("v is null").select(F.col("u").alias("lead")).distinct(), "jaccard-dense").df
+        dense = stash(found.df.where("v is null").select(F.col("u").alias("lead")).distinct(), "jaccard-dense").df if step == "sparse" else None
         discard(spark, grouped, found)
-        if dense.isEmpty():
-            break
-        rest = shared.df.join(dense, "lead", "left_semi")
-    discard(spark, led, shared, pairs)
+        if dense is not None:
+            if dense.isEmpty():
+                break
+            rest = shared.df.join(dense, "lead", "left_semi")
+    discard(spark, led, shared)
     nodes = distinct.join(connected_components(links).withColumnRenamed("node", "id"), "id", "left")
     return rows.select("rid", "doc_id", "s0", "s1").join(nodes.select("s0", "s1", F.coalesce("component", "id").alias("node")), ["s0", "s1"]).select("rid", "doc_id", "node")

@@ -15,8 +15,13 @@ fingerprints equal but for two given bits differ in at most two, so each of the
 values is a clique whose members all link to its least one - an aggregation with map-side
 combination, linear in the group.
 
-The pipeline's stage of this name links by exact Jaccard similarity instead (``jaccard``): at its
-budget no exact key of a fingerprint is selective, and a fingerprint only estimates the similarity.
+The pipeline's stage of this name (``keep_one``) takes the majority bits of a text's set of five-word
+shingles and searches at 7 differing bits with eight segments of a byte: from some start every chain of
+``l`` segments differs in l * 7 / 8 bits at most, so the first segment is equal and the second differs
+in one bit at most. A bucket is a start and its first segment; inside, only rows whose second segments
+are within one bit meet, then the longer chains are tested one by one, up to the whole ring. What it
+finds is confirmed by the exact Jaccard similarity, and ``jaccard`` searches the pairs that are still in
+two groups completely, as two texts at a similarity of 0.8 differ in 10 of 64 bits on average.
 """
 
 from __future__ import annotations
@@ -28,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import blocks, documents, pick, shingle_hashes, unused
+from quillspark.llm.common import blocks, documents, majority, pick, shingle_hashes, unused
 from quillspark.llm.jaccard import BUCKET_LIMIT as JACCARD_LIMIT
-from quillspark.llm.jaccard import near_groups
+from quillspark.llm.jaccard import bucketed_pairs, fit, near_groups
 from quillspark.operators.components import connected_components
 from quillspark.runtime import stash
 
@@ -38,6 +43,10 @@ from quillspark.runtime import stash
 BUCKET_LIMIT = 65_536
 #: Most differing bits of a link.
 MOST = 2
+#: The same for the pipeline's stage, whose fingerprints are eight segments of a byte.
+RING_MOST, SEGMENTS = 7, 8
+#: Rows of a bucket from which leaders are looked for, and the least share of it that one takes.
+LED, LEAST_LED = 512, 16
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,15 +65,7 @@ def _mixed(hashes: np.ndarray, part: int) -> np.ndarray:
 def fingerprint(text: str | None, size: int = 3, parts: int = 1) -> list[int]:
     """SimHash of ``parts`` times 64 bits; a bit is 1 if set in over half the hashes."""
     hashes = shingle_hashes(text, size)
-    out = []
-    for part in range(parts):
-        counts = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), 16_384):
-            mixed = _mixed(hashes[at : at + 16_384], part)
-            counts += np.unpackbits(mixed.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        bits = (2 * counts > len(hashes)).astype(np.uint8)
-        out.append(int(np.packbits(bits, bitorder="little").view("<u8")[0]))
-    return out
+    return [int(majority(_mixed(hashes, part))) for part in range(parts)]
 
 
 def _fingerprints(size: int, parts: int):
@@ -284,15 +285,79 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def _leaders(prints: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Group of every row of a large bucket, named by its leader, and the links to it: of eight free rows the
+    one with the most free rows in reach takes them, as long as they are many."""
+    group, links = np.arange(len(prints)), [np.empty((0, 3), np.int64)]
+    free = group.copy()
+    while len(free) > LED:
+        tried = free[np.linspace(0, len(free) - 1, 8).astype(np.int64)]
+        bits = np.bitwise_count(prints[tried][:, None] ^ prints[free][None, :])
+        near = (bits <= RING_MOST) & fit(sizes[tried][:, None], sizes[free][None, :])
+        best = near.sum(axis=1).argmax()
+        taken = near[best]
+        if LEAST_LED * taken.sum() < len(prints):
+            break
+        group[free[taken]] = tried[best]
+        links.append(np.stack([np.full(taken.sum(), tried[best]), free[taken], bits[best][taken]], axis=1, dtype=np.int64, casting="unsafe"))
+        free = free[~taken]
+    links = np.concatenate(links)
+    return group, links[links[:, 0] != links[:, 1]]
+
+
+def ring_pairs(ids: np.ndarray, sizes: np.ndarray, parts: np.ndarray, block: np.ndarray, prints: list[bytes], across: bool):
+    """Pairs of a bucket within ``RING_MOST`` bits whose chains from its start keep their budgets. Prints begin with
+    that start. Rows that share a leader are linked to it only, and not paired with each other."""
+    prints = np.frombuffer(b"".join(prints), "<u8")
+    parts, links = _leaders(prints, sizes)
+    yield links
+    second = (prints >> np.uint64(8) & np.uint64(255)).astype(np.int64)
+    order = np.argsort(second, kind="stable")
+    first = np.searchsorted(second[order], np.arange(257))
+    names, counts = np.unique(parts, return_counts=True)
+    rest = parts != names[counts.argmax()] if counts.max() > 1 else np.ones(len(parts), bool)
+    left = np.flatnonzero(rest)
+    near = second[left][:, None] ^ np.array([0, *(1 << k for k in range(8))])
+    low, n = first[near], first[near + 1] - first[near]
+    total = np.cumsum(n.sum(axis=1))
+    at = 0
+    while at < len(left):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 20), "right")))
+        many = n[at:stop].ravel()
+        i = np.repeat(left[at:stop], n[at:stop].sum(axis=1))
+        j = order[np.arange(many.sum()) + np.repeat(low[at:stop].ravel() - (np.cumsum(many) - many), many)]
+        at = stop
+        for length in range(3, SEGMENTS + 1):
+            chain = np.bitwise_count((prints[i] ^ prints[j]) << np.uint64(64 - 8 * length))
+            ok = chain <= length * RING_MOST // SEGMENTS
+            i, j = i[ok], j[ok]
+        ok = (parts[i] != parts[j]) & fit(sizes[i], sizes[j]) & (~rest[j] | (ids[i] < ids[j]))
+        if across:
+            ok &= block[i] != block[j]
+        i, j = i[ok], j[ok]
+        yield np.stack([i, j, np.bitwise_count(prints[i] ^ prints[j])], axis=1, dtype=np.int64, casting="unsafe")
+
+
+def ring_links(prints: DataFrame, limit: int = JACCARD_LIMIT) -> DataFrame:
+    """Pairs ``(u, v)`` of ``prints(id, n, print)`` within ``RING_MOST`` bits: all of a bucket, or where they are
+    many such as join whatever all of them join."""
+    start = F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("start")
+    rows = prints.select("id", "n", "print", start)
+    turned = F.expr(f"concat(substring(print, start + 1, {SEGMENTS}), substring(print, 1, start))")
+    lead = F.expr("start * 256L + cast(conv(hex(substring(print, start + 1, 1)), 16, 10) as int)")
+    rows = rows.select(lead.alias("lead"), "id", "n", turned.alias("sketch"), F.col("id").alias("part"))
+    return bucketed_pairs(rows, limit, True, ring_pairs).where("v is not null")
+
+
 def keep_one(docs: DataFrame, limit: int = JACCARD_LIMIT) -> DataFrame:
-    """The rows of ``docs`` without near duplicates (exact Jaccard similarity, see ``jaccard``): of each
-    group the row with the smallest doc_id (then the first such row) stays; rows without words are
+    """The rows of ``docs`` without near duplicates (SimHash by pigeonring, confirmed and completed by the
+    exact Jaccard similarity, see ``jaccard``): of each group the row with the smallest doc_id (then the first such row) stays; rows without words are
     copies of each other, null and empty texts too. A null doc_id comes last in its group and is
     otherwise nothing special; of repeated rows one stays. All columns stay, whatever their names; an
     empty table gives an empty result."""
     rid = unused(docs.columns, "row_number")
     rows = stash(docs.withColumn(rid, F.monotonically_increasing_id()), "jaccard-docs").df
-    found = near_groups(rows.select(F.col(rid).alias("rid"), "doc_id", "text"), limit)
+    found = near_groups(rows.select(F.col(rid).alias("rid"), "doc_id", "text"), ring_links, limit)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("first")
     stay = found.groupBy("node").agg(first).select(F.col("first.rid").alias("id"))
     return pick(rows, rid, stay).select(*docs.columns)

@@ -10,7 +10,7 @@ import re
 import numpy as np
 import pytest
 
-from quillspark.llm import bpe, chat, common, embedding, langid, packing, quality, secrets, simhash, suffix, warc
+from quillspark.llm import bpe, chat, common, embedding, jaccard, langid, packing, quality, secrets, simhash, suffix, warc
 
 RNG = random.Random(11)
 VOCAB = ["".join(RNG.choice("abcdefghijklmnop") for _ in range(RNG.randint(2, 7))) for _ in range(400)]
@@ -220,6 +220,43 @@ def test_keep_one_confirms_by_jaccard(spark):
     assert simhash.keep_one(df).count() == 40
 
 
+@pytest.mark.parametrize("limit", [65536, 300])
+def test_ring_finds_all_pairs_within_seven_bits(spark, limit):
+    """Fingerprints around the limit by brute force, and a group that is large enough for leaders."""
+    rng = np.random.default_rng(4)
+    flips = lambda n: np.uint64(sum(1 << int(k) for k in rng.choice(64, n, replace=False)))
+    bases = [np.uint64(x) for x in rng.integers(0, 2**63, 60)]
+    prints = [b ^ flips(rng.integers(0, 9)) for b in bases for _ in range(6)] + [bases[0] ^ flips(rng.integers(0, 4)) for _ in range(900)]
+    prints = np.array(prints + prints[:40], "<u8")
+    sizes = rng.integers(95, 105, len(prints))
+    sizes[::11] = 500
+    df = spark.createDataFrame([(i, int(sizes[i]), prints[i].tobytes()) for i in range(len(prints))], "id long, n int, print binary").repartition(3)
+    found = [(r.u, r.v) for r in simhash.ring_links(df, limit).collect()]
+    near = (np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 7) & (5 * np.minimum(sizes[:, None], sizes[None, :]) >= 4 * np.maximum(sizes[:, None], sizes[None, :]))
+    assert all(near[u, v] and u != v for u, v in found)
+
+    def label(links):
+        out, new = None, np.arange(len(prints))
+        while out is None or (out != new).any():
+            out, new = new, np.where(links, new[None, :], len(prints)).min(axis=1)
+        return out.tolist()
+
+    linked = np.eye(len(prints), dtype=bool)
+    for u, v in found:
+        linked[u, v] = linked[v, u] = True
+    assert label(linked) == label(near) and len(found) < near.sum() / 20 and simhash.ring_links(df.where("false")).count() == 0
+
+
+def test_keep_one_links_by_fingerprints(spark, monkeypatch):
+    """Without the search by prefixes, fingerprints by themselves find near copies, and confirm them by Jaccard."""
+    rng = random.Random(19)
+    bases = [" ".join(rng.choice(VOCAB) for _ in range(400)) for _ in range(12)]
+    texts = bases + [edited(b, 1, rng) for b in bases]
+    monkeypatch.setattr(jaccard, "buckets", lambda rows: rows.select(rows["id"].alias("lead"), "id").where("false"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == list(range(12))
+
+
 def brute_passages(rows):
     seen = collections.defaultdict(list)
     for k, (doc, text) in enumerate(rows):
