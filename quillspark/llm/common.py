@@ -91,9 +91,10 @@ class Memo:
 
     def missing(self, keys: set) -> set:
         away = keys.difference(self.young)
-        back = away.intersection(self.old)
-        self.add({k: self.old[k] for k in back})
-        return away - back
+        # Not away.intersection(self.old), which would walk the whole old generation.
+        back = {k: self.old[k] for k in away if k in self.old}
+        self.add(back)
+        return away.difference(back)
 
     def add(self, items: dict) -> None:
         self.young.update(items)

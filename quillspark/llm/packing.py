@@ -40,7 +40,7 @@ REMEMBERED = 128 << 20
 
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: White space to str.split() that is none to the tokenizer, and a letter whose lower case depends on its place.
-_ODD = regex.compile("[\x1c-\x1fΣ]")
+_ODD = "\x1c\x1d\x1e\x1fΣ"
 
 
 def _split(chunk: str) -> list[str] | tuple[str, ...]:
@@ -92,7 +92,8 @@ class WordTokenizer:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = [_ODD.search(t) or any(x in t for x in self.added) for t in texts]
+        odd_parts = (*_ODD, *self.added)
+        odd = [any(x in t for x in odd_parts) for t in texts]
         plain = {i: unicodedata.normalize("NFC", t).lower().split() for i, t in enumerate(texts) if not odd[i]}
         self._learn(list(plain.values()))
         known = self.known.young.__getitem__

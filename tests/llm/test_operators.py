@@ -428,6 +428,17 @@ def test_memo_keeps_to_its_bytes():
         assert held <= 10_000 + 2 * 2 * 3000
 
 
+def test_memo_asks_the_old_generation_by_key():
+    """What is missing costs look-ups of the keys asked for, not a walk through all that is remembered."""
+    class Unwalked(dict):
+        def __iter__(self):
+            raise AssertionError("walked")
+
+    memo = common.Memo(1000)
+    memo.old = Unwalked({"a": b"1", "b": b"2"})
+    assert memo.missing({"a", "c"}) == {"c"} and memo.young == {"a": b"1"}
+
+
 def test_plan_uses_complements():
     made = packing.plan({10: 2, 6: 2, 4: 2, 3: 1, 2: 1, 1: 1}, 10)
     assert sum(t for _, t in made) == 5 and all(sum(p) <= 10 for p, _ in made)
