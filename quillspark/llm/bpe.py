@@ -17,6 +17,7 @@ import base64
 import hashlib
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 REMEMBERED = 64 << 20
 #: New words replayed together: few enough for the index to stay in a CPU's cache.
 AT_ONCE = 1000
+#: Ids decoded together: a bound on the index of their bytes.
+DECODED = 65_536
 
 
 class MergeReplay:
@@ -36,7 +39,7 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
-        self.single = [ranks[bytes([b])] for b in range(256)]
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         # Rank of the token that a pair merges to, for every pair that merges to one.
         self.pairs = {
             ranks[token[:k]] << 32 | ranks[token[k:]]: rank
@@ -44,29 +47,32 @@ class MergeReplay:
             for k in range(1, len(token))
             if token[:k] in ranks and token[k:] in ranks
         }
+        # The same for two single bytes, the first times 256 plus the second; -1 where they merge to none.
+        self.first = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word; words that are tokens themselves need no merge."""
         ranks, rank = self.ranks, self.pairs.get
         out: list[list[int]] = [[ranks[w]] if w in ranks else [] for w in words]
         # All other words end to end; -1 before and after each keeps merges inside.
-        symbols: list[int] = [-1]
-        where: list[tuple[int, int, int]] = []
-        for k, word in enumerate(words):
-            if not out[k] and word:
-                where.append((k, len(symbols), len(word)))
-                symbols += [self.single[b] for b in word]
-                symbols.append(-1)
+        rest = [k for k, word in enumerate(words) if not out[k] and word]
+        sizes = np.array([len(words[k]) for k in rest], np.int64)
+        ends = np.cumsum(sizes + 1)
+        where = zip(rest, (ends - sizes).tolist(), sizes.tolist())
+        flat = np.frombuffer(b"\0" + b"".join([words[k] + b"\0" for k in rest]), np.uint8).astype(np.int64)
+        codes = self.single[flat]
+        codes[0], codes[ends] = -1, -1
+        symbols: list[int] = codes.tolist()
         nxt = list(range(1, len(symbols) + 1))
         prv = list(range(-1, len(symbols) - 1))
         index: dict[int, list[int]] = {}
+        if rest:
+            found = np.where((codes[:-1] >= 0) & (codes[1:] >= 0), self.first[flat[:-1] << 8 | flat[1:]], -1)
+            order = np.argsort(found, kind="stable")
+            order = order[np.searchsorted(found[order], 0) :]
+            cuts = np.flatnonzero(np.diff(found[order])) + 1
+            index = {int(found[x[0]]): x.tolist() for x in np.split(order, cuts) if len(x)}
         # A pair with -1 or -2 in it is in no table, so the ends of words need no test.
-        for at, (a, b) in enumerate(zip(symbols, symbols[1:])):
-            if (r := rank(a << 32 | b)) is not None:
-                if r in index:
-                    index[r].append(at)
-                else:
-                    index[r] = [at]
         queue = list(index)
         heapify(queue)
         gone = -2
@@ -117,7 +123,10 @@ class Encoder:
         self.replay = MergeReplay(ranks)
         self.find = regex.compile(pattern).findall
         self.edge = regex.compile(r"^\s|\s$|^$").search
-        self.bytes_of = {b"%d" % i: token for i, token in self.replay.tokens.items()}
+        # Bytes of all tokens end to end, and the start and size of each.
+        tokens = [self.replay.tokens.get(i, b"") for i in range(max(self.replay.tokens) + 1)]
+        self.flat, self.sizes = np.frombuffer(b"".join(tokens), np.uint8), np.array(list(map(len, tokens)), np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.words, self.first, self.spaced = Memo(REMEMBERED), Memo(REMEMBERED // 4), Memo(REMEMBERED)
 
     def _learn_words(self, words: set[str]) -> None:
@@ -165,7 +174,13 @@ class Encoder:
         return out
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.split()))
+        numbers = np.fromstring(ids, np.int64, sep=" ") if ids else np.empty(0, np.int64)
+        return b"".join(self._bytes(numbers[at : at + DECODED]) for at in range(0, len(numbers), DECODED))
+
+    def _bytes(self, numbers: np.ndarray) -> bytes:
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.starts[numbers] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes()
 
 
 def encoder(path: str, pattern: str) -> Encoder:

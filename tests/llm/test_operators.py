@@ -460,6 +460,27 @@ def test_bpe(docs):
     assert bpe.round_trip(docs).count() == len(ROWS) and bpe.round_trip(empty(docs)).count() == 0
 
 
+def test_bpe_first_pairs_need_no_lookups():
+    """Pairs of bytes come from a table at once; only merges look pairs up. Many ids are decoded in slices."""
+    import public_tokenizers as tokens
+
+    coder = bpe.Encoder(tokens.path("byte_bpe_50k.tiktoken"), tokens.PATTERN)
+    asked = []
+
+    class Counted(dict):
+        def get(self, key):
+            asked.append(key)
+            return super().get(key)
+
+    alone = bytes(b for b in range(256) if bytes([b, b]) not in coder.replay.ranks)[:1] * 40
+    want = coder.replay.encode([alone, b"", b"lower\0lowest", b"\0\0"])
+    coder.replay.pairs = Counted(coder.replay.pairs)
+    assert coder.replay.encode([alone]) == want[:1] == [[coder.replay.ranks[alone[:1]]] * 40] and not asked
+    assert coder.replay.encode([alone, b"", b"lower\0lowest", b"\0\0"]) == want and asked
+    text = "aß 字\x00 word " * 40_000
+    assert coder.decode(coder.encode([text])[0]) == text.encode() and coder.decode(b"") == b""
+
+
 def test_long_texts_without_spaces():
     """Texts of a megabyte that are one word: same ids as the libraries, and memos that stay within their bytes."""
     import base64
