@@ -72,10 +72,17 @@ def excerpt(text: str | Column, length: int = 250) -> Column:
 
 
 def inverted(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, inverted``: word to positions, the form in which abstracts arrive; undone by ``reconstruct``."""
-    words = docs.select(key, F.posexplode(F.split(text, " ")).alias("place", "word"))
-    places = words.groupBy(key, "word").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    return places.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("inverted"))
+    """``key, inverted``: word to positions, the form in which abstracts arrive; undone by ``reconstruct``.
+
+    Each row by itself: its words are sorted with their places and cut where the word changes, so
+    nothing is shuffled, keys may repeat and a null text stays null.
+    """
+    pairs = F.sort_array(F.transform(F.split(col(text), " "), lambda w, i: F.struct(w.alias("word"), i.alias("place"))))
+    first = lambda v, i: (i == 0) | (F.get(v, i - 1)["word"] != F.get(v, i)["word"])
+    starts = lambda v: F.filter(F.transform(v, lambda x, i: F.when(first(v, i), i)), lambda i: i.isNotNull())
+    entry = lambda v, s, i, k: F.struct(F.get(v, i)["word"].alias("word"), F.slice(v, i + 1, F.coalesce(F.get(s, k + 1), F.size(v)) - i)["place"].alias("places"))
+    entries = let(pairs, lambda v: let(starts(v), lambda s: F.transform(s, lambda i, k: entry(v, s, i, k))))
+    return docs.select(key, F.map_from_entries(entries).alias("inverted"))
 
 
 def let(x: Column, body) -> Column:

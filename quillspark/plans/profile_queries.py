@@ -101,7 +101,8 @@ def word_counts(spark, sf):
 def invert_abstract(spark, sf):
     """Texts inverted to word positions and put together again."""
     docs = inverted(T.read(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
-    back = docs.select("doc_id", reconstruct("inverted").alias("text"))
+    # A text without words has none to put together; it is empty, not missing.
+    back = docs.select("doc_id", F.when(F.col("inverted").isNotNull(), F.coalesce(reconstruct("inverted"), F.lit(""))).alias("text"))
     return back.select("doc_id", F.substring(F.sha2("text", 256), 1, 12).alias("digest"))
 
 
