@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import none_if_empty, present, synthetic_id
-from quillspark.operators.components import connected_components
+from quillspark.operators.components import connected_components, hashes, roots
 from quillspark.operators.normalize import ID_PREFIX
 
 AUTHORED, AFFILIATED, ABOUT, PUBLISHED = "AUTHORED", "AFFILIATED_WITH", "ABOUT", "PUBLISHED_IN"
@@ -162,19 +162,27 @@ def coauthors(edges: DataFrame) -> DataFrame:
     return left.join(right, "p").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_shared"))
 
 
-def component_sizes(nodes: DataFrame, edges: DataFrame, count_type: str | None = None) -> DataFrame:
+def component_sizes(nodes: DataFrame, edges: DataFrame, count_type: str | None = None, named: bool = True) -> DataFrame:
     """``component, size`` of the undirected graph; isolates are components of one.
 
     With ``count_type`` only nodes of that type count: researchers who share a paper are connected
-    through it, so the co-author projection need not be built to count its components.
+    through it, so the co-author projection need not be built to count its components. A component's
+    name is its smallest node; who needs sizes alone goes without, ``named=False``.
     """
-    key = lambda t, i: F.concat(t, F.lit(":"), i)
-    links = edges.select(key("source_type", "source_id").alias("u"), key("target_type", "target_id").alias("v"))
-    found = connected_components(links)
-    every = nodes.select(key("node_type", "node_id").alias("node"), "node_type").join(found, "node", "left")
+    if named:
+        key = lambda t, i: F.concat(t, F.lit(":"), i)
+        links = edges.select(key("source_type", "source_id").alias("u"), key("target_type", "target_id").alias("v"))
+        found = connected_components(links)
+        every = nodes.select(key("node_type", "node_id").alias("node"), "node_type").join(found, "node", "left")
+        by = [F.coalesce("component", "node").alias("component")]
+    else:
+        found, salt = roots(edges, ["source_type", "source_id"], ["target_type", "target_id"])
+        h, h2 = hashes(salt, "node_type", "node_id")
+        every = nodes.withColumns({"u": h, "u2": h2}).join(found, ["u", "u2"], "left")
+        by = ["root", F.when(F.col("root").isNull(), F.col("node_type")).alias("t"), F.when(F.col("root").isNull(), F.col("node_id")).alias("i")]
     if count_type:
         every = every.where(F.col("node_type") == count_type)
-    return every.groupBy(F.coalesce("component", "node").alias("component")).agg(F.count("*").alias("size"))
+    return every.groupBy(*by).agg(F.count("*").alias("size")).select(*(["component", "size"] if named else ["size"]))
 
 
 def component_summary(sizes: DataFrame) -> DataFrame:

@@ -141,8 +141,8 @@ def _config(name, types, rels, count_type):
 
     @query(name, _typed(types, rels) + _SUMMARY.format(where=where))
     def run(spark, sf):
-        nodes, edges = G.subgraph(T.nodes(spark, sf), T.edges(spark, sf), list(types), list(rels))
-        return G.component_summary(G.component_sizes(nodes, edges, count_type))
+        nodes, edges = G.subgraph(T.nodes(spark, sf), T.edges(spark, sf, repeats=True), list(types), list(rels))
+        return G.component_summary(G.component_sizes(nodes, edges, count_type, named=False))
 
 
 for _name, _args in _CONFIGS.items():

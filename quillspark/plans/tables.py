@@ -36,13 +36,15 @@ def vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, repeats: bool = False) -> DataFrame:
+    """Each edge once, or with ``repeats`` as often as a line draws it, for who only asks what is connected."""
+    once = (lambda df: df) if repeats else DataFrame.distinct
     lines = read(spark, sf_dir, "lineitem")
     parts = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
     orders = read(spark, sf_dir, "orders")
-    wrote = lines.select("l_partkey", "l_orderkey").distinct().select(*G.edge("Researcher", F.col("l_partkey"), "Paper", F.col("l_orderkey"), G.AUTHORED))
-    at = lines.select("l_orderkey", "l_suppkey").distinct().select(*G.edge("Paper", F.col("l_orderkey"), "Institution", F.col("l_suppkey"), G.AFFILIATED))
-    about = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_brand").distinct().select(*G.edge("Paper", F.col("l_orderkey"), "Topic", F.col("p_brand"), G.ABOUT))
+    wrote = once(lines.select("l_partkey", "l_orderkey")).select(*G.edge("Researcher", F.col("l_partkey"), "Paper", F.col("l_orderkey"), G.AUTHORED))
+    at = once(lines.select("l_orderkey", "l_suppkey")).select(*G.edge("Paper", F.col("l_orderkey"), "Institution", F.col("l_suppkey"), G.AFFILIATED))
+    about = once(lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_brand")).select(*G.edge("Paper", F.col("l_orderkey"), "Topic", F.col("p_brand"), G.ABOUT))
     year = orders.select(*G.edge("Paper", F.col("o_orderkey"), "Year", F.year("o_orderdate"), G.PUBLISHED))
     return wrote.unionByName(at).unionByName(about).unionByName(year)
 

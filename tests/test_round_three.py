@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from quillspark.operators import components as C
+from quillspark.operators import graph as G
 from quillspark.plans import profile_queries, search_queries
 
 
@@ -29,3 +31,53 @@ def test_fallback_keeps_the_semantic_top(spark, tmp_path):
     for run in (search_queries.hybrid_fallback, search_queries.hybrid_unreachable):
         found = {r.rank: r.paper_id for r in run(spark, sf).collect()}
         assert found == {1: 100, **{i + 2: 201 + i for i in range(8)}, 11: 250}
+
+
+def plain_components(edges):
+    to = {}
+
+    def top(x):
+        while to.setdefault(x, x) != x:
+            x = to[x]
+        return x
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        to[max(a, b)] = min(a, b)
+    return {x: top(x) for x in to}
+
+
+def test_components_in_blocks(spark):
+    """Blocks of eight edges: several levels, as with edges beyond one block."""
+    import random
+
+    rng = random.Random(3)
+    edges = [(f"n{rng.randrange(400)}", f"n{rng.randrange(400)}") for _ in range(300)] + [(f"p{i:03}", f"p{i + 1:03}") for i in range(150)]
+    edges = [e for e in edges if e[0] != e[1]]
+    df = spark.createDataFrame(edges, "u string, v string").repartition(3)
+    found = {r.node: r.component for r in C.connected_components(df, block=8).collect()}
+    assert found == plain_components(edges)
+
+
+def test_components_with_a_shared_hash(spark, monkeypatch):
+    """Keys that share the first hash under the first salt: found, and done again with the next."""
+    real, salts = C.hashes, []
+
+    def hashes(salt, *key):
+        salts.append(salt)
+        h, h2 = real(salt, *key)
+        return (h % 3 if salt == 0 else h), h2
+
+    monkeypatch.setattr(C, "hashes", hashes)
+    edges = [(f"a{i}", f"b{i}") for i in range(20)]
+    for block in (4, 1 << 21):
+        salts.clear()
+        found = {r.node: r.component for r in C.connected_components(spark.createDataFrame(edges, "u string, v string"), block=block).collect()}
+        assert found == plain_components(edges) and 1 in salts
+
+
+def test_component_sizes_by_hash(spark):
+    nodes = spark.createDataFrame([("P", "1"), ("P", "2"), ("R", "1"), ("R", "9"), ("P", "9")], "node_type string, node_id string")
+    edges = spark.createDataFrame([("R", "1", "P", "1", "x", None), ("R", "1", "P", "2", "x", None), ("R", None, "P", "9", "x", None)], "source_type string, source_id string, target_type string, target_id string, rel_type string, score double")
+    assert sorted(r.size for r in G.component_sizes(nodes, edges.unionByName(edges), named=False).collect()) == [1, 1, 3]
+    assert sorted(r.size for r in G.component_sizes(nodes, edges, "R", named=False).collect()) == [1, 1]
