@@ -145,9 +145,10 @@ def deltas(metrics: DataFrame, systems: list[str], metric: str = "ndcg_at_10") -
     return metrics.groupBy("query_id").pivot("system", systems).agg(F.round(F.first(metric), 4))
 
 
-def diversity(results: DataFrame, entities: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
+def diversity(results: DataFrame, entities: DataFrame, queries: DataFrame, top_k: int = 10, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """``system, query_id, kind, n_unique, entropy, simpson`` of the entities of each result list;
-    a query without results has zeros. ``entities(paper_id, kind, entity_id)`` keeps repeats."""
+    a query without results has zeros. ``entities(paper_id, kind, entity_id)`` keeps repeats; ``kinds``
+    are those of the entities unless given."""
     top = results.where(F.col("rank") <= top_k).select("system", "query_id", "paper_id")
     counts = top.join(entities, "paper_id").groupBy("system", "query_id", "kind", "entity_id").agg(F.count("*").alias("c"))
     # Both measures from sums of c, c log c and c squared, so no total has to be joined back.
@@ -155,8 +156,8 @@ def diversity(results: DataFrame, entities: DataFrame, queries: DataFrame, top_k
     n = F.col("n")
     entropy = F.round(F.greatest(F.lit(0.0), F.log2(n) - F.col("clog") / n), 4)
     simpson = F.when(n <= 1, 0.0).otherwise(F.round(1 - F.col("sq") / (n * n), 4))
-    kinds = entities.select("kind").distinct()
-    every = queries.select("query_id").crossJoin(results.select("system").distinct()).crossJoin(kinds)  # systems and kinds: a handful
+    kind = entities.sparkSession.createDataFrame([(k,) for k in kinds], "kind string") if kinds else entities.select("kind").distinct()
+    every = queries.select("query_id").crossJoin(results.select("system").distinct()).crossJoin(kind)  # systems and kinds: a handful
     found = sums.select("system", "query_id", "kind", "n_unique", entropy.alias("entropy"), simpson.alias("simpson"))
     return every.join(found, ["system", "query_id", "kind"], "left").fillna(0, ["n_unique"]).fillna(0.0, ["entropy", "simpson"])
 

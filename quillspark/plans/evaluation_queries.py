@@ -157,14 +157,21 @@ diversity AS (SELECT y.system, b.item_id AS query_id, k.kind, coalesce(n_unique,
   FROM benchmark b CROSS JOIN (VALUES ('A'), ('B'), ('C')) y(system) CROSS JOIN (VALUES ('topic'), ('author'), ('institution')) k(kind) LEFT JOIN s ON s.system = y.system AND s.query_id = b.item_id AND s.kind = k.kind)"""
 
 
+def diversity(spark, sf):
+    """Only what belongs to the results is made distinct, and it is written, as counts and joins read it."""
+    found = results(spark, sf)
+    near = entities(spark, sf).join(found.select("paper_id").distinct(), "paper_id", "left_semi").distinct()
+    return E.diversity(found, stash(near, "result-entities").df, T.questions(spark, sf), kinds=S.KINDS)
+
+
 @query("diversity_per_query", f"WITH {_DIVERSITY} SELECT * FROM diversity")
 def diversity_per_query(spark, sf):
-    return E.diversity(results(spark, sf), entities(spark, sf), T.questions(spark, sf))
+    return diversity(spark, sf)
 
 
 @query("diversity_macro", f"WITH {_DIVERSITY} SELECT system, kind, round(avg(n_unique) + 1e-9, 2) AS n_unique, round(avg(entropy) + 1e-9, 4) AS entropy, round(avg(simpson) + 1e-9, 4) AS simpson FROM diversity GROUP BY 1, 2")
 def diversity_macro(spark, sf):
-    return E.diversity_means(E.diversity(results(spark, sf), entities(spark, sf), T.questions(spark, sf)))
+    return E.diversity_means(diversity(spark, sf))
 
 
 # --- judgments: documents stand for candidates, their language for the query ------------------

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillspark.operators import components as C
+from quillspark.operators import evaluation as E
 from quillspark.operators import graph as G
 from quillspark.operators import search as S
 from quillspark.plans import profile_queries, search_queries
@@ -108,3 +109,19 @@ def test_bm25_sends_the_best_of_each_block_only(spark, monkeypatch):
     assert {(r.query_id, r.rank, r.paper_id, r.score) for r in S.bm25_search(index, queries).collect()} == want
     monkeypatch.setattr(S, "CELLS", 1 << 23)
     assert S.bm25_best(index, queries, 3).count() < 3 * 2 * 2 + 20
+
+
+def test_diversity_has_all_kinds(spark):
+    """Entities of the results alone may lack a kind, which still has its zeros."""
+    results = spark.createDataFrame([("A", "q", 1, 1)], "system string, query_id string, rank int, paper_id int")
+    entities = spark.createDataFrame([(1, "topic", "x")], "paper_id int, kind string, entity_id string")
+    found = E.diversity(results, entities, results.select("query_id"), kinds=S.KINDS).collect()
+    assert {(r.kind, r.n_unique) for r in found} == {("topic", 1), ("author", 0), ("institution", 0)}
+
+
+def test_entities_are_read_without_a_shuffle(spark, tmp_path):
+    save(spark, tmp_path, "lineitem", [(1, 2, 3), (1, 2, 3)], "l_orderkey long, l_partkey long, l_suppkey long")
+    save(spark, tmp_path, "orders", [(1, None)], "o_orderkey long, o_orderdate timestamp")
+    sf = save(spark, tmp_path, "part", [(2, "b")], "p_partkey long, p_brand string")
+    plan = search_queries.entities(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Aggregate" not in plan
