@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import strip
+from quillspark.runtime import stash
 
 BRIEF = 50
 
 
 def init_batches(candidates: DataFrame, batches: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """Masked items of ``candidates(query_id, query_text, paper_id, title, abstract)`` in the batch of
-    their query (``batches(query_id, batch_id)``); earlier labels and notes are kept."""
-    items = candidates.select("query_id", "query_text", "paper_id", "title", "abstract").join(batches, "query_id")
+    their query (``batches(query_id, batch_id)``); earlier labels and notes are kept.
+
+    The list of batches goes to the items: a query's texts never meet in one task."""
+    items = candidates.select("query_id", "query_text", "paper_id", "title", "abstract").join(F.broadcast(batches), "query_id")
     if earlier is None:
         return items.select("batch_id", *candidates.columns, F.lit(None).cast("int").alias("relevance"), F.lit("").alias("notes"))
     return items.join(earlier.select("query_id", "paper_id", "relevance", "notes"), ["query_id", "paper_id"], "left").withColumn("notes", F.coalesce("notes", F.lit("")))
@@ -23,14 +26,15 @@ def apply_rules(items: DataFrame, rules: DataFrame, default: int = 0) -> DataFra
     """Label ``items(query_id, title, abstract)`` by the first rule whose every group has a word in the text.
 
     A rule is data: ``query_id, priority, all_of`` (groups of alternatives), ``label, note``. Items
-    no rule fits get ``default``.
+    no rule fits get ``default``. The rules of a query go to its items as one list, by priority, so
+    no text is shuffled.
     """
     text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit(""))))
-    rows = items.withColumn("_text", text)
-    hits = rows.select("query_id", "paper_id", "_text").join(rules, "query_id").where(F.forall("all_of", lambda group: F.exists(group, lambda word: F.contains(F.col("_text"), word))))
-    first = hits.groupBy("query_id", "paper_id").agg(F.min_by(F.struct("label", "note"), "priority").alias("hit"))
-    out = rows.drop("_text", "relevance", "notes").join(first, ["query_id", "paper_id"], "left")
-    return out.withColumns({"relevance": F.coalesce("hit.label", F.lit(default)), "notes": F.coalesce("hit.note", F.lit("no rule"))}).drop("hit")
+    lists = rules.where("priority is not null").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("priority", "label", "note", "all_of"))).alias("_rules"))
+    rows = items.drop("relevance", "notes").withColumn("_text", text).join(F.broadcast(lists), "query_id", "left")
+    fits = lambda rule: F.forall(rule["all_of"], lambda group: F.exists(group, lambda word: F.contains(F.col("_text"), word)))
+    out = rows.withColumn("_hit", F.get(F.filter("_rules", fits), 0))
+    return out.withColumns({"relevance": F.coalesce("_hit.label", F.lit(default)), "notes": F.coalesce("_hit.note", F.lit("no rule"))}).drop("_hit", "_rules", "_text")
 
 
 def flag_uncertain(items: DataFrame, reasons: tuple[str, str] = ("no_text", "middle_label")) -> DataFrame:
@@ -101,11 +105,15 @@ def label_histogram(qrels: DataFrame) -> DataFrame:
 
 
 def number_items(items: DataFrame) -> DataFrame:
-    """Items with their number in the query, by paper_id; the ids are numbered alone and the texts joined back."""
-    from pyspark.sql import Window
+    """Items with their number in the query, by paper_id; the ids are numbered alone and the texts joined back.
 
-    ids = items.select("query_id", "paper_id").distinct()
-    numbers = ids.withColumn("item", F.row_number().over(Window.partitionBy("query_id").orderBy("paper_id")))
+    The ids are dealt out by ranges and each range is numbered by itself, from the count of those before it.
+    """
+    parts = stash(items.select("query_id", "paper_id").distinct().repartitionByRange("query_id", "paper_id").withColumn("_part", F.spark_partition_id()), "item-ranges").df
+    earlier = Window.partitionBy("query_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = parts.groupBy("query_id", "_part").agg(F.count("*").alias("n")).select("query_id", "_part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("query_id", "_part").orderBy("paper_id"))
+    numbers = parts.withColumn("item", within).join(F.broadcast(counts), ["query_id", "_part"]).select("query_id", "paper_id", (F.col("item") + F.col("_before")).cast("int").alias("item"))
     return items.join(numbers, ["query_id", "paper_id"])
 
 

@@ -260,7 +260,7 @@ def corrections_merge(spark, sf):
 
 @query("item_numbers", f"WITH {_ITEMS} SELECT query_id, paper_id, row_number() OVER (PARTITION BY query_id ORDER BY paper_id) AS item, CASE WHEN length(abstract) > 250 THEN substr(abstract, 1, 250) || '...' WHEN abstract <> '' THEN abstract ELSE '(No abstract)' END AS excerpt FROM items")
 def item_numbers(spark, sf):
-    return J.number_items(items(spark, sf)).select("query_id", "paper_id", "item", excerpt("abstract").alias("excerpt"))
+    return J.number_items(items(spark, sf).select("query_id", "paper_id", excerpt("abstract").alias("excerpt"))).select("query_id", "paper_id", "item", "excerpt")
 
 
 @query("pool_set_difference", f"WITH {_RESULTS} SELECT query_id, count(*) FILTER (WHERE b.paper_id IS NULL) AS only_a, count(*) FILTER (WHERE a.paper_id IS NULL) AS only_b FROM (SELECT query_id, paper_id FROM results WHERE system = 'A') a FULL JOIN (SELECT query_id, paper_id FROM results WHERE system = 'B') b USING (query_id, paper_id) GROUP BY 1")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quillspark.operators import components as C
 from quillspark.operators import evaluation as E
 from quillspark.operators import graph as G
+from quillspark.operators import judgments as J
 from quillspark.operators import search as S
 from quillspark.plans import profile_queries, search_queries
 
@@ -125,3 +126,26 @@ def test_entities_are_read_without_a_shuffle(spark, tmp_path):
     sf = save(spark, tmp_path, "part", [(2, "b")], "p_partkey long, p_brand string")
     plan = search_queries.entities(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "Aggregate" not in plan
+
+
+def test_item_numbers_over_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else small ranges are read together
+    try:
+        items = spark.createDataFrame([("q", i) for i in range(500)] + [("r", i) for i in range(0, 60, 3)], "query_id string, paper_id int").withColumns({"title": F.lit("t"), "abstract": F.lit(None).cast("string")}).repartition(3)
+        found = {(r.query_id, r.paper_id): r.item for r in J.number_items(items).collect()}
+        assert found == {("q", i): i + 1 for i in range(500)} | {("r", 3 * i): i + 1 for i in range(20)}
+        plan = J.number_items(items)._jdf.queryExecution().executedPlan().toString()
+        assert "Window [row_number() windowspecdefinition(query_id#" not in plan.split("_part")[0]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_rules_do_not_gather_a_query(spark):
+    """The first rule by priority, with no shuffle of the items by their query."""
+    items = spark.createDataFrame([("q", 1, "a", "b c"), ("q", 2, None, "c"), ("q", 3, "x", None), ("r", 4, "a", "b")], "query_id string, paper_id int, title string, abstract string")
+    rules = spark.createDataFrame([("q", 2, [["c"]], 1, "late"), ("q", 1, [["a"], ["x", "b"]], 2, "early"), ("q", None, [["x"]], 2, "no place")], "query_id string, priority int, all_of array<array<string>>, label int, note string")
+    for batches in (None, items.select("query_id", F.concat(F.lit("b"), "query_id").alias("batch_id")).distinct()):
+        rows = items if batches is None else J.init_batches(items.withColumn("query_text", F.lit("t")), batches)
+        out = J.apply_rules(rows, rules)
+        assert {r.paper_id: (r.relevance, r.notes) for r in out.collect()} == {1: (2, "early"), 2: (1, "late"), 3: (0, "no rule"), 4: (0, "no rule")}
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
