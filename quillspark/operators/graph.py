@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import none_if_empty, present, synthetic_id
 from quillspark.operators.components import connected_components, hashes, roots
 from quillspark.operators.normalize import ID_PREFIX
+from quillspark.runtime import stash
 
 AUTHORED, AFFILIATED, ABOUT, PUBLISHED = "AUTHORED", "AFFILIATED_WITH", "ABOUT", "PUBLISHED_IN"
+#: What a paper should have, and by which edge.
+KINDS_OF = {"researchers": AUTHORED, "institutions": AFFILIATED, "topics": ABOUT, "year": PUBLISHED}
 EDGE_KEY = ["source_type", "source_id", "target_type", "target_id", "rel_type"]
 
 
@@ -132,23 +135,39 @@ def hubs(nodes: DataFrame, edges: DataFrame, node_type: str, top: int = 15) -> D
     return degrees(nodes.where(F.col("node_type") == node_type), edges.where((F.col("source_type") == node_type) | (F.col("target_type") == node_type))).orderBy(F.desc("degree"), "node_id").limit(top)
 
 
+def repeated_edges(edges: DataFrame) -> DataFrame:
+    """``n``: keys of edges that come more than once. Only edges that share a hash are compared by their keys."""
+    hashed = edges.withColumn("_hash", F.xxhash64(*EDGE_KEY))
+    suspects = stash(hashed.groupBy("_hash").agg(F.count("*").alias("n")).where("n > 1").select("_hash"), "edge-hashes").df
+    if not suspects.limit(1).count():
+        return suspects.agg(F.count("*").alias("n"))
+    return hashed.join(suspects, "_hash", "left_semi").groupBy(*EDGE_KEY).agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("n"))
+
+
 def integrity(nodes: DataFrame, papers: DataFrame, edges: DataFrame) -> DataFrame:
-    """``check, violations``, all computed: keys, ends of edges and what papers lack."""
-    keys = nodes.groupBy("node_type", "node_id").count().where("count > 1").agg(F.count("*").alias("n"))
-    dangling = ends(edges).join(nodes, ["node_type", "node_id"], "left_anti").agg(F.count("*").alias("n"))
-    repeated = edges.groupBy(*EDGE_KEY).count().where("count > 1").agg(F.count("*").alias("n"))
-    lacks = paper_degrees(papers, edges)
-    rows = [("duplicate_node_ids", keys), ("dangling_edge_ends", dangling), ("duplicate_edges", repeated)]
-    out = None
-    for name, df in rows:
-        row = df.select(F.lit(name).alias("check"), F.col("n").alias("violations"))
-        out = row if out is None else out.unionByName(row)
-    dated = edges.where(F.col("rel_type") == PUBLISHED).select(F.col("source_id").alias("paper_id"))
-    undated = papers.select("paper_id").join(dated, "paper_id", "left_anti").agg(F.count("*").alias("violations"))
-    out = out.unionByName(undated.select(F.lit("papers_without_year").alias("check"), "violations"))
-    counts = lacks.agg(*(F.count_if(F.col(f"n_{x}") == 0).alias(x) for x in ("researchers", "institutions", "topics")))
-    pairs = F.array(*(F.struct(F.lit(f"papers_without_{x}").alias("check"), F.col(x).alias("violations")) for x in ("researchers", "institutions", "topics")))
-    return out.unionByName(counts.select(F.explode(pairs).alias("x")).select("x.*"))
+    """``check, violations``, all computed: keys, ends of edges and what papers lack.
+
+    Ends, nodes and papers are counted together by type and id, in one aggregation; a null id is no node's.
+    """
+    flags = ("node", "paper", "end", *KINDS_OF)
+    row = lambda kind, i, **set_: F.struct(F.col(kind).alias("node_type") if kind else F.lit("Paper").alias("node_type"), F.col(i).cast("string").alias("node_id"), *((set_.get(f) if f in set_ else F.lit(0)).cast("int").alias(f) for f in flags))
+    is_ = lambda rel: F.when(F.col("rel_type") == rel, 1).otherwise(0)
+    one = F.lit(1)
+    source = row("source_type", "source_id", end=one, **{k: is_(rel) for k, rel in KINDS_OF.items() if rel != AUTHORED})
+    target = row("target_type", "target_id", end=one, researchers=is_(AUTHORED))
+    rows = edges.select(F.explode(F.array(source, target)).alias("x")).select("x.*")
+    rows = rows.unionByName(nodes.select(row("node_type", "node_id", node=one).alias("x")).select("x.*"))
+    rows = rows.unionByName(papers.select(row(None, "paper_id", paper=one).alias("x")).select("x.*"))
+    counts = rows.groupBy("node_type", "node_id").agg(*(F.sum(f).alias(f) for f in flags))
+    lost = F.col("node_type").isNull() | F.col("node_id").isNull()
+    without = lambda k: F.sum(F.when((F.col(k) == 0) | lost, F.col("paper")).otherwise(0))
+    found = counts.agg(
+        F.count_if(F.col("node") > 1).alias("duplicate_node_ids"), F.sum(F.when((F.col("node") == 0) | lost, F.col("end")).otherwise(0)).alias("dangling_edge_ends"),
+        *(without(k).alias(f"papers_without_{k}") for k in KINDS_OF),
+    )
+    pairs = F.array(*(F.struct(F.lit(c).alias("check"), F.coalesce(c, F.lit(0)).alias("violations")) for c in found.columns))
+    repeated = repeated_edges(edges).select(F.lit("duplicate_edges").alias("check"), F.col("n").alias("violations"))
+    return found.select(F.explode(pairs).alias("x")).select("x.*").unionByName(repeated)
 
 
 def subgraph(nodes: DataFrame, edges: DataFrame, node_types: list[str], rel_types: list[str]) -> tuple[DataFrame, DataFrame]:

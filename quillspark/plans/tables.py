@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import graph as G
+from quillspark.runtime import size
 
+#: Bytes of the lines whose edges one task makes distinct.
+PART_BYTES = 8 << 20
 HOME = "NATION_0"
 
 
@@ -37,8 +40,12 @@ def vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str, repeats: bool = False) -> DataFrame:
-    """Each edge once, or with ``repeats`` as often as a line draws it, for who only asks what is connected."""
-    once = (lambda df: df) if repeats else DataFrame.distinct
+    """Each edge once, or with ``repeats`` as often as a line draws it, for who only asks what is connected.
+
+    A paper's lines are made distinct together, in as many parts as the table's size asks for: what a
+    task holds does not grow with the table."""
+    parts_of = max(1, -(-size(spark, f"{sf_dir}/lineitem.parquet") // PART_BYTES))
+    once = (lambda df: df) if repeats else (lambda df: df.repartition(parts_of, "l_orderkey").distinct())
     lines = read(spark, sf_dir, "lineitem")
     parts = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
     orders = read(spark, sf_dir, "orders")

@@ -96,6 +96,12 @@ def discard(spark: SparkSession, *tables: Stash | str) -> None:
         fs.delete(path, True)
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
 _ONCE: dict[tuple, object] = {}
 
 

@@ -1,5 +1,7 @@
 """Odd rows and larger groups that the queries once got wrong or held in one place."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from quillspark.operators import components as C
@@ -8,6 +10,7 @@ from quillspark.operators import graph as G
 from quillspark.operators import judgments as J
 from quillspark.operators import search as S
 from quillspark.plans import profile_queries, search_queries
+from quillspark.plans import tables as T
 
 
 def save(spark, folder, name, rows, schema):
@@ -149,3 +152,29 @@ def test_rules_do_not_gather_a_query(spark):
         out = J.apply_rules(rows, rules)
         assert {r.paper_id: (r.relevance, r.notes) for r in out.collect()} == {1: (2, "early"), 2: (1, "late"), 3: (0, "no rule"), 4: (0, "no rule")}
         assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_integrity_counts_each_fault(spark):
+    nodes = spark.createDataFrame([("Paper", "1"), ("Paper", "1"), ("Paper", "2"), ("Researcher", "1"), ("Paper", None)], "node_type string, node_id string")
+    papers = spark.createDataFrame([("1",), ("2",), ("3",)], "paper_id string")
+    rows = [("Researcher", "1", "Paper", "1", "AUTHORED")] * 2 + [("Paper", "1", "Year", "1990", "PUBLISHED_IN"), ("Paper", "2", "Topic", None, "ABOUT"), ("Paper", "3", "Institution", "1", "AFFILIATED_WITH")]
+    edges = spark.createDataFrame(rows, "source_type string, source_id string, target_type string, target_id string, rel_type string")
+    found = {r.check: r.violations for r in G.integrity(nodes, papers, edges).collect()}
+    assert found == {"duplicate_node_ids": 1, "dangling_edge_ends": 4, "duplicate_edges": 1, "papers_without_year": 2, "papers_without_researchers": 2, "papers_without_institutions": 2, "papers_without_topics": 2}
+    assert {r.check: r.violations for r in G.integrity(nodes, papers, edges.limit(0)).collect()}["dangling_edge_ends"] == 0
+    plan = G.integrity(nodes, papers, edges)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+
+
+def test_parts_of_distinct_edges_follow_the_table(spark, tmp_path, monkeypatch):
+    save(spark, tmp_path, "lineitem", [(i % 50, i % 7, i % 3) for i in range(1000)], "l_orderkey long, l_partkey long, l_suppkey long")
+    save(spark, tmp_path, "orders", [(i, None) for i in range(50)], "o_orderkey long, o_orderdate timestamp")
+    sf = save(spark, tmp_path, "part", [(i, f"b{i % 2}") for i in range(7)], "p_partkey long, p_brand string")
+    counts = lambda: {r.rel_type: r["count"] for r in T.edges(spark, sf).groupBy("rel_type").count().collect()}
+    want = counts()
+    assert want == {"AUTHORED": 350, "AFFILIATED_WITH": 150, "ABOUT": 100, "PUBLISHED_IN": 50}
+    monkeypatch.setattr(T, "PART_BYTES", 500)
+    assert counts() == want
+    plan = T.edges(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    asked = [int(x) for x in re.findall(r"hashpartitioning\(l_orderkey#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert len(asked) == 3 and min(asked) > 4
