@@ -204,6 +204,6 @@ def jsonl_scan(spark, sf):
     path = shared_path(spark, "works-jsonl")
     raw = raw_works(spark, sf)
     for part in (0, 1):
-        append_jsonl(raw.where(F.col("o_orderkey") % 2 == part).drop("o_orderkey"), path)
+        append_jsonl(raw.where(F.col("o_orderkey") % 2 == part).drop("o_orderkey"), path, "lz4")
     found = N.normalize_works(read_jsonl(spark, path, RAW_WORK)).select("id", "title", "search_text", "authors_count")
     return found.withColumns({"n_lines": F.lit(count_records(spark, path)), "n_corrupt": F.lit(corrupt_lines(spark, path, RAW_WORK).count())})

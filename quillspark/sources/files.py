@@ -51,8 +51,9 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(_parsed(schema)).option("multiLine", True).json(path)
 
 
-def append_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("append").option("ignoreNullFields", False).json(path)
+def append_jsonl(df: DataFrame, path: str, compression: str = "none") -> None:
+    """Append ``df`` as JSON lines; compressed ones are read again as any others."""
+    df.write.mode("append").option("ignoreNullFields", False).option("compression", compression).json(path)
 
 
 def overwrite(df: DataFrame, path: str) -> None:
