@@ -30,6 +30,8 @@ def edge(source_type: str, source: Column, target_type: str, target: Column, rel
 def first_by(df: DataFrame, key: list[str], order: str) -> DataFrame:
     """The first row of each key by an explicit ordinal: an aggregation, not a sort."""
     rest = [c for c in df.columns if c not in (*key, order)]
+    if len(rest) == 1:  # a plain value by a plain ordinal is aggregated in a hash table
+        return df.groupBy(*key).agg(F.min_by(rest[0], F.col(order)).alias(rest[0]))
     picked = df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("row"))
     return picked.select(*key, *(F.col(f"row.{c}").alias(c) for c in rest))
 
@@ -51,12 +53,12 @@ def build_graph(works: DataFrame, ordinal: str = "ordinal") -> dict[str, DataFra
     ), ["id"], "o")
     authors = papers.select("id", o.alias("o"), F.posexplode("authors").alias("k", "a")).select(
         F.col("id").alias("paper"), F.struct("o", "k").alias("o"),
-        F.when(present("a.id"), F.col("a.id")).otherwise(synthetic_id("AUTH", F.coalesce(none_if_empty("a.name"), F.lit("Unknown Author")))).alias("id"),
+        known(F.col("a"), "AUTH", "Unknown Author").alias("id"),
         F.coalesce(none_if_empty("a.name"), F.lit("Unknown Author")).alias("display_name"), F.lit(None).cast("string").alias("orcid"), address("a.id"),
     )
     places = papers.select("id", o.alias("o"), F.posexplode("institutions").alias("k", "i")).select(
         F.col("id").alias("paper"), F.struct("o", "k").alias("o"),
-        F.when(present("i.id"), F.col("i.id")).otherwise(synthetic_id("INST", F.coalesce(none_if_empty("i.name"), F.lit("Unknown Institution")))).alias("id"),
+        known(F.col("i"), "INST", "Unknown Institution").alias("id"),
         F.coalesce(none_if_empty("i.name"), F.lit("Unknown Institution")).alias("display_name"), F.col("i.ror").alias("ror"),
         F.col("i.country_code").alias("country_code"), F.lit(None).cast("string").alias("type"), address("i.id"),
     )
@@ -65,22 +67,44 @@ def build_graph(works: DataFrame, ordinal: str = "ordinal") -> dict[str, DataFra
         F.col("id").alias("paper"), F.struct("o", "k").alias("o"), F.col("t.id").alias("id"), F.col("t.name").alias("display_name"), main("subfield"), main("field"), main("domain"), address("t.id"), F.col("t.score").alias("score"),
     )
     years = papers.where(F.coalesce(F.col("publication_year") != 0, F.lit(False)))
-    drawn = (
-        authors.select(*edge("Researcher", F.col("id"), "Paper", F.col("paper"), AUTHORED), "o")
-        .unionByName(places.select(*edge("Paper", F.col("paper"), "Institution", F.col("id"), AFFILIATED), "o"))
-        .unionByName(topics.select(*edge("Paper", F.col("paper"), "Topic", F.col("id"), ABOUT, F.col("score")), "o"))
-        .unionByName(years.select(*edge("Paper", F.col("id"), "Year", F.col("publication_year"), PUBLISHED), F.struct(o.alias("o"), F.lit(0).alias("k")).alias("o")))
-    )
     return {
         "papers": paper,
         "researchers": first_by(authors.drop("paper"), ["id"], "o"),
         "institutions": first_by(places.drop("paper"), ["id"], "o"),
         "topics": first_by(topics.drop("paper", "score"), ["id"], "o"),
         "years": years.select(F.col("publication_year").alias("value")).distinct(),
-        "edges": first_by(drawn, EDGE_KEY, "o"),
+        "edges": first_by(_drawn(papers, o), EDGE_KEY, "o"),
     }
 
 
+def _drawn(papers: DataFrame, o: Column) -> DataFrame:
+    """All edges of every mention of a paper with their place ``o``, of the four kinds in one pass over the works.
+
+    The place is one number of the mention's ordinal, a whole number, and the place in its list."""
+    at = lambda k: (o.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + k.cast("decimal(10,0)")).cast("decimal(38,0)").alias("o")
+
+    def edges(items: str, ends) -> Column:
+        rows = F.transform(F.coalesce(items, F.array().cast(papers.schema[items].dataType)), lambda x, k: F.struct(*ends(x), at(k)))
+        return F.filter(rows, lambda r: r["source_id"].isNotNull() & r["target_id"].isNotNull()) if items == "topics" else rows
+
+    author = lambda a: known(a, "AUTH", "Unknown Author")
+    place = lambda i: known(i, "INST", "Unknown Institution")
+    topic = lambda t: F.when(present(t["id"]) & present(t["name"]), t["id"])
+    year = F.when(F.coalesce(F.col("publication_year") != 0, F.lit(False)), F.array(F.struct(*edge("Paper", F.col("id"), "Year", F.col("publication_year"), PUBLISHED), at(F.lit(0)))))
+    every = F.concat(
+        edges("authors", lambda a: edge("Researcher", author(a), "Paper", F.col("id"), AUTHORED)),
+        edges("institutions", lambda i: edge("Paper", F.col("id"), "Institution", place(i), AFFILIATED)),
+        edges("topics", lambda t: edge("Paper", F.col("id"), "Topic", topic(t), ABOUT, t["score"])),
+        F.coalesce(year, F.array()),
+    )
+    return papers.select(F.explode(every).alias("x")).select("x.*")
+
+
+def known(x: Column, kind: str, nobody: str) -> Column:
+    """The id of an author or institution, or a synthetic one from the name."""
+    return F.when(present(x["id"]), x["id"]).otherwise(synthetic_id(kind, F.coalesce(none_if_empty(x["name"]), F.lit(nobody))))
+
+
 def resolution_audit(mentions: DataFrame) -> DataFrame:
     """One row of counts over ``mentions(id, name)``, the raw author or institution instances."""
     known = mentions.where(present("id"))

@@ -11,6 +11,8 @@ from quillspark.operators import judgments as J
 from quillspark.operators import search as S
 from quillspark.plans import profile_queries, search_queries
 from quillspark.plans import tables as T
+from quillspark.runtime import size
+from quillspark.sources.files import append_jsonl, count_records, read_jsonl
 
 
 def save(spark, folder, name, rows, schema):
@@ -178,3 +180,34 @@ def test_parts_of_distinct_edges_follow_the_table(spark, tmp_path, monkeypatch):
     plan = T.edges(spark, sf)._jdf.queryExecution().executedPlan().toString()
     asked = [int(x) for x in re.findall(r"hashpartitioning\(l_orderkey#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)]
     assert len(asked) == 3 and min(asked) > 4
+
+
+def test_edges_are_drawn_in_one_pass(spark):
+    """The first mention's score wins, null or not, and works are read once for all kinds of edges."""
+    topic = "array<struct<id: string, name: string, score: double>>"
+    person = "array<struct<id: string, name: string, raw_affiliation_strings: array<string>>>"
+    place = "array<struct<id: string, name: string, country_code: string, ror: string>>"
+    text = ("title", "doi", "publication_date", "type", "source_name", "oa_status", "abstract_text", "search_text", "raw_id", "primary_topic", "primary_topic_subfield", "primary_topic_field", "primary_topic_domain")
+    schema = f"id string, publication_year int, is_oa boolean, cited_by_count int, authors {person}, institutions {place}, topics {topic}, ordinal int, " + ", ".join(f"{c} string" for c in text)
+    rest = (None,) * len(text)
+    rows = [
+        ("W1", 0, None, None, [("A1", "n", None), (None, "N. ", None)], None, [("T1", "t", 0.5), ("T1", "t", 0.1), ("", "u", 1.0)], 2, *rest),
+        ("W1", 1990, None, None, [], [(None, None, None, None)], [("T2", "v", 0.7), ("T1", "t", None)], 1, *rest),
+        (None, 1991, None, None, [("A1", "n", None)], None, None, 0, *rest),
+    ]
+    found = G.build_graph(spark.createDataFrame(rows, schema))["edges"]
+    got = sorted((r.source_id, r.target_id, r.rel_type, r.score) for r in found.collect())
+    assert [x for x in got if "_SYNTH_" not in x[0] + x[1]] == [("A1", "W1", "AUTHORED", None), ("W1", "1990", "PUBLISHED_IN", None), ("W1", "T1", "ABOUT", None), ("W1", "T2", "ABOUT", 0.7)]
+    assert len(got) == 6 and found.columns == ["source_type", "source_id", "target_type", "target_id", "rel_type", "score"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and "SortAggregate" not in plan
+
+
+def test_compressed_lines_are_read_again(spark, tmp_path):
+    path = f"file://{tmp_path}/lines"
+    rows = spark.createDataFrame([(f"q{i}", "same text " * 50, None) for i in range(200)], "query_id string, paper_id string, relevance int")
+    for _ in range(2):
+        append_jsonl(rows, path, "lz4")
+    assert count_records(spark, path) == 400
+    assert read_jsonl(spark, path, "query_id string, paper_id string, relevance int").distinct().count() == 200
+    assert size(spark, path) < 400 * 500 / 4
