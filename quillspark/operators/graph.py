@@ -73,15 +73,16 @@ def build_graph(works: DataFrame, ordinal: str = "ordinal") -> dict[str, DataFra
         "institutions": first_by(places.drop("paper"), ["id"], "o"),
         "topics": first_by(topics.drop("paper", "score"), ["id"], "o"),
         "years": years.select(F.col("publication_year").alias("value")).distinct(),
-        "edges": first_by(_drawn(papers, o), EDGE_KEY, "o"),
+        "edges": first_by(_drawn(papers, ordinal), EDGE_KEY, "o"),
     }
 
 
-def _drawn(papers: DataFrame, o: Column) -> DataFrame:
+def _drawn(papers: DataFrame, ordinal: str) -> DataFrame:
     """All edges of every mention of a paper with their place ``o``, of the four kinds in one pass over the works.
 
-    The place is one number of the mention's ordinal, a whole number, and the place in its list."""
-    at = lambda k: (o.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + k.cast("decimal(10,0)")).cast("decimal(38,0)").alias("o")
+    The place is the mention's ordinal and the place in its list: of a whole-number ordinal one number."""
+    o, whole = F.col(ordinal), dict(papers.dtypes)[ordinal] in ("tinyint", "smallint", "int", "bigint")
+    at = lambda k: (F.struct(o.alias("o"), k.alias("k")) if not whole else o.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + k.cast("decimal(10,0)")).alias("o")
 
     def edges(items: str, ends) -> Column:
         rows = F.transform(F.coalesce(items, F.array().cast(papers.schema[items].dataType)), lambda x, k: F.struct(*ends(x), at(k)))
